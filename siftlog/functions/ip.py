@@ -1,15 +1,11 @@
 """IP addresses as canonical text plus a sortable hexadecimal key.
 
-Dotted IPv4 text is handled entirely by built-in expressions. Only values that
-contain a colon reach the Arrow UDF, all other rows pass NULL through it.
+Everything here is a built-in expression: no row leaves the JVM for an address.
 """
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\z"
 
@@ -31,71 +27,82 @@ def v4_key(col: Column) -> Column:
     return F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(v4_number(col)), 8, "0")))
 
 
-def _v6_text(text: str, unmap: bool) -> str | None:
-    try:
-        address = ipaddress.IPv6Address(text)
-    except ValueError:
-        return None
-    mapped = address.ipv4_mapped
-    if mapped is not None:
-        base = str(mapped) if unmap else f"::ffff:{mapped}"
-        if unmap:
-            return base
-        return base + (f"%{address.scope_id}" if address.scope_id else "")
-    return str(address)
-
-
-@F.pandas_udf(T.StringType())
-def _v6_unmapped(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: _v6_text(v, True), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _v6_kept(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: _v6_text(v, False), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _v6_key(values: pd.Series) -> pd.Series:
-    def key(text: str) -> str | None:
-        try:
-            return f"{int(ipaddress.IPv6Address(text.partition('%')[0])):032x}"
-        except ValueError:
-            return None
-
-    return values.map(key, na_action="ignore")
-
-
-def _colon_only(col: Column) -> Column:
-    return F.when(col.contains(":"), col)
+_HEX = r"[0-9a-f]{1,4}"
+_RUN = rf"(?:{_HEX}(?::{_HEX})*+)?"
+_FULL = rf"^(?:{_HEX}:){{7}}{_HEX}\z"
+_SHORT = rf"^({_RUN})::({_RUN})\z"
+_TAIL_V4 = r"^(.*:)((?:[0-9]{1,3}\.){3}[0-9]{1,3})\z"
+
+
+def _v6_groups(col: Column) -> Column:
+    """Eight lower-case hex groups without leading zeros; NULL when not IPv6."""
+    core = F.lower(F.substring_index(col, "%", 1))
+    tail = F.regexp_extract(core, _TAIL_V4, 2)
+    number = v4_number(tail)
+    high, low = F.call_function("div", number, F.lit(65536)), number % 65536
+    mixed = F.concat(F.regexp_extract(core, _TAIL_V4, 1), F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low)))
+    text = F.when(tail == "", core).otherwise(mixed)
+
+    def list_of(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+    left, right = list_of(F.regexp_extract(text, _SHORT, 1)), list_of(F.regexp_extract(text, _SHORT, 2))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    expanded = F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+    groups = F.when(text.rlike(_FULL), F.split(text, ":")).when(text.rlike(_SHORT), expanded)
+    return F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+
+
+def _v6_joined(groups: Column) -> Column:
+    """Canonical text: the longest run of zero groups (two or more) becomes ::."""
+    joined = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    out = None
+    for length in range(8, 1, -1):
+        run = ":" + "0:" * length
+        short = F.concat(F.substring_index(joined, run, 1), F.lit("::"), F.substr(joined, F.instr(joined, run) + len(run)))
+        out = F.when(F.contains(joined, F.lit(run)), short) if out is None else out.when(F.contains(joined, F.lit(run)), short)
+    return F.regexp_replace(F.regexp_replace(out.otherwise(joined), "^:(?!:)", ""), "(?<!:):$", "")
+
+
+def _v6_text(col: Column, unmap: bool) -> Column:
+    groups = _v6_groups(col)
+    mapped = (F.array_join(F.slice(groups, 1, 5), "") == "00000") & (F.get(groups, F.lit(5)) == "ffff")
+    octets = []
+    for index in (6, 7):
+        value = F.conv(F.get(groups, F.lit(index)), 16, 10).cast("bigint")
+        octets += [F.call_function("div", value, F.lit(256)).cast("string"), (value % 256).cast("string")]
+    dotted = F.concat_ws(".", *octets)
+    zone = F.regexp_extract(col, r"%(.+)\z", 0)
+    bad_zone = F.contains(col, F.lit("%")) & (zone == "")
+    text = F.when(mapped, dotted if unmap else F.concat(F.lit("::ffff:"), dotted, zone)).otherwise(F.concat(_v6_joined(groups), zone))
+    return F.when(groups.isNotNull() & ~bad_zone, text)
 
 
 def canonical_ip(col: Column, unmap: bool = True) -> Column:
     """Canonical address text, NULL when the text is not an address."""
-    udf = _v6_unmapped if unmap else _v6_kept
-    return F.when(is_v4(col), col).otherwise(udf(_colon_only(col)))
+    return F.when(is_v4(col), col).when(F.contains(col, F.lit(":")), _v6_text(col, unmap))
 
 
 def ip_key(col: Column) -> Column:
-    return F.when(is_v4(col), v4_key(col)).otherwise(_v6_key(_colon_only(col)))
+    """32 hex digits that sort and range-compare like the 16-byte address."""
+    wide = F.array_join(F.transform(_v6_groups(col), lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(is_v4(col), v4_key(col)).when(F.contains(col, F.lit(":")), wide)
 
 
 def cidr_bounds(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
     """Add `bits`, `lo`, `hi` (hex keys, inclusive) for each network text."""
-
-    @F.pandas_udf("bits int, lo string, hi string")
-    def bounds(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in values:
-            try:
-                # Host bits may be set in the text; the network is what it covers.
-                net = ipaddress.ip_network(text, strict=False)
-            except (ValueError, TypeError):
-                rows.append((None, None, None))
-                continue
-            low, high = int(net.network_address), int(net.broadcast_address)
-            shift = 0xFFFF << 32 if net.version == 4 else 0
-            rows.append((net.prefixlen, f"{low | shift:032x}", f"{high | shift:032x}"))
-        return pd.DataFrame(rows, columns=["bits", "lo", "hi"])
-
-    return networks.withColumn("_b", bounds(F.col(cidr))).select("*", "_b.*").drop("_b").filter("bits IS NOT NULL")
+    address = F.substring_index(F.col(cidr), "/", 1)
+    length = F.substring_index(F.col(cidr), "/", -1).try_cast("int")
+    v4 = is_v4(address)
+    fixed = F.when(v4, length + 96).otherwise(length)
+    key = ip_key(address)
+    bit = fixed % 4
+    whole = F.call_function("div", fixed, F.lit(4)).cast("int")
+    digit = F.conv(F.substr(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    # The digit that holds the border keeps its leading bits.
+    step = F.element_at(F.array(*[F.lit(n) for n in (16, 8, 4, 2)]), bit + 1)
+    low_digit = digit - digit % step
+    lo = F.rpad(F.concat(F.substr(key, F.lit(1), whole), F.when(bit > 0, F.lower(F.hex(low_digit))).otherwise("")), 32, "0")
+    hi = F.rpad(F.concat(F.substr(key, F.lit(1), whole), F.when(bit > 0, F.lower(F.hex(low_digit + step - 1))).otherwise("")), 32, "f")
+    fine = key.isNotNull() & F.col(cidr).rlike(r"^[^/]+/[0-9]{1,3}\z") & length.between(0, F.when(v4, 32).otherwise(128))
+    return networks.select("*", length.alias("bits"), lo.alias("lo"), hi.alias("hi"), fine.alias("_f")).filter("_f").drop("_f")
