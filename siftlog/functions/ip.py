@@ -34,48 +34,71 @@ _SHORT = rf"^({_RUN})::({_RUN})\z"
 _TAIL_V4 = r"^(.*:)((?:[0-9]{1,3}\.){3}[0-9]{1,3})\z"
 
 
-def _v6_groups(col: Column) -> Column:
-    """Eight lower-case hex groups without leading zeros; NULL when not IPv6."""
-    core = F.lower(F.substring_index(col, "%", 1))
-    tail = F.regexp_extract(core, _TAIL_V4, 2)
-    number = v4_number(tail)
-    high, low = F.call_function("div", number, F.lit(65536)), number % 65536
-    mixed = F.concat(F.regexp_extract(core, _TAIL_V4, 1), F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low)))
-    text = F.when(tail == "", core).otherwise(mixed)
+def _let(value: Column, body) -> Column:
+    """Bind `value` once inside `body` instead of repeating its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hex_tail(core: Column) -> Column:
+    """Rewrite a dotted tail as two hex groups."""
+    def mixed(tail: Column) -> Column:
+        pair = _let(v4_number(tail), lambda n: F.concat(
+            F.lower(F.hex(F.call_function("div", n, F.lit(65536)))), F.lit(":"), F.lower(F.hex(n % 65536))))
+        return F.when(tail == "", core).otherwise(F.concat(F.regexp_extract(core, _TAIL_V4, 1), pair))
 
+    return _let(F.regexp_extract(core, _TAIL_V4, 2), mixed)
+
+
+def _expanded(left: Column, right: Column) -> Column:
+    """Groups around :: with the missing zero groups between them."""
     def list_of(part: Column) -> Column:
         return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
-    left, right = list_of(F.regexp_extract(text, _SHORT, 1)), list_of(F.regexp_extract(text, _SHORT, 2))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    expanded = F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
-    groups = F.when(text.rlike(_FULL), F.split(text, ":")).when(text.rlike(_SHORT), expanded)
-    return F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    return _let(F.struct(list_of(left).alias("l"), list_of(right).alias("r")), lambda s: _let(
+        F.lit(8) - F.size(s["l"]) - F.size(s["r"]),
+        lambda missing: F.when(missing >= 1, F.concat(s["l"], F.array_repeat(F.lit("0"), missing), s["r"]))))
+
+
+def _v6_groups(col: Column) -> Column:
+    """Eight lower-case hex groups without leading zeros; NULL when not IPv6."""
+    def groups(text: Column) -> Column:
+        return F.when(text.rlike(_FULL), F.split(text, ":")).when(
+            text.rlike(_SHORT), _expanded(F.regexp_extract(text, _SHORT, 1), F.regexp_extract(text, _SHORT, 2)))
+
+    raw = _let(F.lower(F.substring_index(col, "%", 1)), lambda core: _let(_hex_tail(core), groups))
+    return F.transform(raw, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
 
 
 def _v6_joined(groups: Column) -> Column:
     """Canonical text: the longest run of zero groups (two or more) becomes ::."""
-    joined = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    out = None
-    for length in range(8, 1, -1):
-        run = ":" + "0:" * length
-        short = F.concat(F.substring_index(joined, run, 1), F.lit("::"), F.substr(joined, F.instr(joined, run) + len(run)))
-        out = F.when(F.contains(joined, F.lit(run)), short) if out is None else out.when(F.contains(joined, F.lit(run)), short)
-    return F.regexp_replace(F.regexp_replace(out.otherwise(joined), "^:(?!:)", ""), "(?<!:):$", "")
+    def shorten(joined: Column) -> Column:
+        out = None
+        for length in range(8, 1, -1):
+            run = ":" + "0:" * length
+            short = F.concat(F.substring_index(joined, run, 1), F.lit("::"), F.substr(joined, F.instr(joined, run) + len(run)))
+            hit = F.contains(joined, F.lit(run))
+            out = F.when(hit, short) if out is None else out.when(hit, short)
+        return F.regexp_replace(F.regexp_replace(out.otherwise(joined), "^:(?!:)", ""), "(?<!:):$", "")
+
+    return _let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), shorten)
 
 
 def _v6_text(col: Column, unmap: bool) -> Column:
-    groups = _v6_groups(col)
-    mapped = (F.array_join(F.slice(groups, 1, 5), "") == "00000") & (F.get(groups, F.lit(5)) == "ffff")
-    octets = []
-    for index in (6, 7):
-        value = F.conv(F.get(groups, F.lit(index)), 16, 10).cast("bigint")
-        octets += [F.call_function("div", value, F.lit(256)).cast("string"), (value % 256).cast("string")]
-    dotted = F.concat_ws(".", *octets)
     zone = F.regexp_extract(col, r"%(.+)\z", 0)
+
+    def render(groups: Column) -> Column:
+        mapped = (F.array_join(F.slice(groups, 1, 5), "") == "00000") & (F.get(groups, F.lit(5)) == "ffff")
+        octets = []
+        for index in (6, 7):
+            value = F.conv(F.get(groups, F.lit(index)), 16, 10).cast("bigint")
+            octets += [F.call_function("div", value, F.lit(256)).cast("string"), (value % 256).cast("string")]
+        dotted = F.concat_ws(".", *octets)
+        return F.when(groups.isNotNull(), F.when(
+            mapped, dotted if unmap else F.concat(F.lit("::ffff:"), dotted, zone)
+        ).otherwise(F.concat(_v6_joined(groups), zone)))
+
     bad_zone = F.contains(col, F.lit("%")) & (zone == "")
-    text = F.when(mapped, dotted if unmap else F.concat(F.lit("::ffff:"), dotted, zone)).otherwise(F.concat(_v6_joined(groups), zone))
-    return F.when(groups.isNotNull() & ~bad_zone, text)
+    return F.when(~bad_zone, _let(_v6_groups(col), render))
 
 
 def canonical_ip(col: Column, unmap: bool = True) -> Column:

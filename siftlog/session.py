@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set at session start; a running session keeps its own values for static ones.
 DEFAULTS = {
@@ -19,6 +19,11 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# HotSpot never compiles a method above 8000 bytes of bytecode. A projection with
+# hundreds of expressions fused into one method would therefore run interpreted;
+# with this limit such stages use split projections, and small ones stay fused.
+HUGE_METHOD_LIMIT = "8000"
+
 
 def build_session(master: str = "local[*]", app: str = "siftlog", **extra: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
@@ -30,12 +35,23 @@ def build_session(master: str = "local[*]", app: str = "siftlog", **extra: str)
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
-    """All time arithmetic assumes UTC; the setting is a runtime one."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Runtime settings every job relies on: UTC and compilable method sizes."""
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only when the scan has fewer splits than the cluster has cores.
+
+    Interpretation is CPU-bound, so a single small file should not be one task.
+    A large input already has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
