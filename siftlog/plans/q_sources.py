@@ -1,13 +1,114 @@
-"""Registered queries: sources and sinks."""
+"""Registered queries: evidence scans, admission, framing, sinks."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window, functions as F
+
+from siftlog.functions.ip import ip_key
 from siftlog.plans import domain
 from siftlog.plans.registry import query
+from siftlog.session import shared_dir
+from siftlog.sources import evidence, sinks
+
+
+@query("scan_evidence_files", "SELECT count(*) AS files, true AS digests_match FROM (SELECT 1 FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')))")
+def scan_evidence_files(spark, sf_dir):
+    """Scan every given file as binary evidence and digest it."""
+    domain.ensure_utc(spark)
+    files = evidence.scan_files(spark, f"{sf_dir}/*.parquet")
+    return files.agg(F.count(F.lit(1)).alias("files"), (F.count_if(F.sha2("raw", 256) != F.col("sha256")) == 0).alias("digests_match"))
+
+
+def _frames(spark, sf_dir):
+    e = F.col("event_id")
+    return domain.payloads(spark, sf_dir).select(
+        "event_id", domain.receipt_id(e).alias("receipt_id"), F.lit("t1").alias("tenant_id"), F.when(e % 19 == 3, " ").otherwise("listener-main").alias("listener_id"),
+        domain.pick(["", "syslog_udp", "syslog_tcp", "smtp"], e % 4).alias("transport"), domain.pick(["", "datagram", "octet_counting"], e % 3).alias("framing_mode"),
+        (e % 13 != 5).alias("frame_complete"), (F.col("us") * 1000).alias("received_at_ns"), "raw")
+
+
+_LEGAL = """(e4 = 0 AND e3 = 0) OR (e4 = 1 AND e3 IN (0, 1)) OR (e4 = 2 AND e3 = 2)"""
+_ADMIT = f"""(SELECT *, CASE WHEN event_id % 19 = 3 THEN 'INVALID_REQUEST' WHEN NOT ({_LEGAL}) THEN 'INVALID_FRAMING' WHEN event_id % 13 = 5 THEN 'FRAME_INCOMPLETE'
+ WHEN strlen(payload) > 280 THEN 'PAYLOAD_TOO_LARGE' END AS reason FROM (SELECT *, event_id % 4 AS e4, event_id % 3 AS e3 FROM pl))"""
+query(
+    "admit_receipts",
+    f"""SELECT '00000000-0000-7000-8000-' || printf('%012x', event_id) AS receipt_id, CASE e4 WHEN 0 THEN 'http' WHEN 1 THEN 'syslog_udp' ELSE 'syslog_tcp' END AS transport,
+ CASE e4 WHEN 0 THEN 'http_octets' WHEN 1 THEN 'datagram' ELSE 'octet_counting' END AS framing_mode, sha256(payload) AS raw_sha256, strlen(payload) AS raw_size,
+ strftime(ts, '%Y-%m-%d') AS day, 'ACCEPTED' AS state FROM {_ADMIT} WHERE reason IS NULL""",
+)(lambda s, d: evidence.admit(_frames(s, d), 280)[0].select("receipt_id", "transport", "framing_mode", "raw_sha256", "raw_size", F.date_format("date", "yyyy-MM-dd").alias("day"), "state"))
+query("admit_rejects", f"SELECT '00000000-0000-7000-8000-' || printf('%012x', event_id) AS receipt_id, reason FROM {_ADMIT} WHERE reason IS NOT NULL")(
+    lambda s, d: evidence.admit(_frames(s, d), 280)[1].select("receipt_id", "reason"))
+
+
+@query(
+    "deframe_delimited",
+    """SELECT conv_id || '-' || turn AS capture_id, frame_no, frame, CASE WHEN frame_no = n - 1 THEN 'FRAME_INCOMPLETE' WHEN frame = '' THEN 'EMPTY_FRAME' END AS error FROM
+ (SELECT conv_id, turn, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS frame_no, unnest(parts) AS frame, len(parts) AS n FROM (SELECT *, string_split(text, chr(10)) AS parts FROM conversations))
+ WHERE NOT (frame_no = n - 1 AND frame = '')""",
+)
+def deframe_delimited(spark, sf_dir):
+    c = domain.table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("capture_id"), "text")
+    return evidence.split_delimited(c)
+
+
+@query(
+    "deframe_octet_counted",
+    """SELECT conv_id, turn, 2 AS frames, CAST(strlen(text) + strlen(role) AS BIGINT) AS bytes, CASE WHEN conv_id % 3 = 0 THEN 'INVALID_OCTET_COUNT' WHEN conv_id % 3 = 1 THEN 'FRAME_INCOMPLETE' END AS error
+ FROM conversations WHERE strlen(text) > 0""",
+)
+def deframe_octet_counted(spark, sf_dir):
+    """Two framed messages per capture, then a bad count or a cut-off frame."""
+    c = domain.table(spark, sf_dir, "conversations").filter(F.octet_length("text") > 0)
+    n = lambda col: F.octet_length(col).cast("string")
+    tail = domain.pick(["x9 abc", "99 short", ""], F.col("conv_id") % 3)
+    data = F.concat(n("text"), F.lit(" "), "text", n("role"), F.lit(" "), "role", tail).cast("binary")
+    frames = evidence.split_octet_counted(c.select(F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("capture_id"), data.alias("data")))
+    per = frames.groupBy("capture_id").agg(F.count_if(F.col("error").isNull()).cast("int").alias("frames"), F.sum(F.octet_length("frame")).alias("bytes"), F.max("error").alias("error"))
+    ids = F.split("capture_id", "-")
+    return per.select(F.get(ids, F.lit(0)).cast("bigint").alias("conv_id"), F.get(ids, F.lit(1)).cast("bigint").alias("turn"), "frames", "bytes", "error")
+
+
+@query(
+    "source_profile_lookup",
+    """SELECT event_id, CASE WHEN user_id % 250 = 7 THEN 'narrow' WHEN user_id % 250 < 16 THEN 'wide' WHEN user_id % 250 < 128 THEN 'half' ELSE '' END AS profile FROM events""",
+)
+def source_profile_lookup(spark, sf_dir):
+    rows = domain.fields(domain.events(spark, sf_dir)).select("event_id", domain.receipt_id(F.col("event_id")).alias("receipt_id"), F.col("f_src").alias("peer_ip"))
+    nets = spark.createDataFrame([("10.0.0.0/9", "half"), ("10.0.0.0/12", "wide"), ("10.7.0.0/16", "narrow"), ("2001:db8::/32", "v6")], "cidr string, profile string")
+    return evidence.assign_profiles(rows, nets).select("event_id", "profile")
+
+
+@query("ip_sort_key", "SELECT event_id, printf('00000000000000000000ffff%02x%02x%02x%02x', 10, user_id % 250, event_id % 250, (event_id * 7) % 250) AS key FROM events")
+def ip_sort_key(spark, sf_dir):
+    rows = domain.fields(domain.events(spark, sf_dir))
+    return rows.select("event_id", ip_key(F.col("f_src")).alias("key"))
+
+
+def _flat(spark, sf_dir):
+    f = domain.flat_events(spark, sf_dir)
+    return f.withColumn("envelope_json", F.concat(F.lit('{"id":"'), "revision_id", F.lit('"}'))).drop("event_id", "k")
+
+
+@query("sink_parquet_partitions", "SELECT tenant_id AS tenant, strftime(make_timestamp(received_at_ns // 1000), '%Y-%m-%d') AS day, count(*) AS rows, 0 AS unsorted FROM flat_events GROUP BY 1, 2")
+def sink_parquet_partitions(spark, sf_dir):
+    """Write tenant/date partitions, read them back, check the order inside each file."""
+    path = shared_dir(spark, "lake")
+    sinks.write_partitioned(_flat(spark, sf_dir), path)
+    back = sinks.read_table(spark, path).withColumn("file", F.input_file_name()).withColumn("pos", F.monotonically_increasing_id())
+    prev = F.lag("revision_id").over(Window.partitionBy("file").orderBy("pos"))
+    return back.withColumn("p", prev).groupBy("tenant", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p") > F.col("revision_id")).cast("int").alias("unsorted"))
+
+
+@query("sink_monthly_table", "SELECT strftime(make_timestamp(received_at_ns // 1000), '%Y%m') AS yyyymm, tenant_id, count(*) AS rows FROM flat_events GROUP BY 1, 2")
+def sink_monthly_table(spark, sf_dir):
+    path = shared_dir(spark, "monthly")
+    sinks.write_monthly(_flat(spark, sf_dir), path, 4)
+    return sinks.read_table(spark, path).groupBy(F.col("yyyymm").cast("string").alias("yyyymm"), "tenant_id").agg(F.count(F.lit(1)).alias("rows"))
+
 
-query("tmp_receipts", "SELECT event_id, receipt_id, tenant_id, received_at_ns, raw_ref, raw_sha256, raw_size, state, raw_available, lease_until_ns FROM receipts")(
-    lambda s, d: domain.receipts(s, d).select("event_id", "receipt_id", "tenant_id", "received_at_ns", "raw_ref", "raw_sha256", "raw_size", "state", "raw_available", "lease_until_ns"))
-query("tmp_rev", "SELECT * FROM revisions")(lambda s, d: domain.revisions(s, d).drop("schema_version"))
-query("tmp_del", "SELECT * FROM deliveries")(lambda s, d: domain.deliveries(s, d))
-query("tmp_holds", "SELECT * FROM holds")(lambda s, d: domain.holds(s, d).drop("reason"))
-query("tmp_inv", "SELECT * FROM inventory")(lambda s, d: domain.inventory(s, d))
+@query("sink_ndjson", "SELECT revision_id AS id FROM flat_events")
+def sink_ndjson(spark, sf_dir):
+    path = shared_dir(spark, "ndjson")
+    sinks.write_envelopes_ndjson(_flat(spark, sf_dir), path)
+    return spark.read.schema("id string").option("mode", "FAILFAST").json(path)
