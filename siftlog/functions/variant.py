@@ -139,5 +139,5 @@ def flatten_document(document: Column, root: str = "fields") -> Column:
 
 def document_rows(df: DataFrame, keys: list[str], document: str) -> DataFrame:
     """(keys..., path, value): one row per leaf of every document."""
-    leaves = df.select(*keys, F.explode(flatten_document(F.col(document))).alias("_l"))
-    return leaves.select(*keys, F.col("_l.p").alias("path"), F.col("_l.v").alias("value"))
+    leaves = df.select(*keys, F.explode_outer(flatten_document(F.col(document))).alias("_l"))
+    return leaves.filter("_l IS NOT NULL").select(*keys, F.col("_l.p").alias("path"), F.col("_l.v").alias("value"))

@@ -49,7 +49,7 @@ def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     counted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
 
     def rank(p: float) -> Column:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast(rows.schema[value].dataType)
 
     plain = rows.groupBy(by).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
     ends = counted.groupBy(by).agg(F.sum("_n").alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"))

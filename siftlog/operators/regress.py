@@ -30,7 +30,10 @@ def fixture_failures(run: DataFrame, expected: DataFrame) -> DataFrame:
 
 def wrongly_selected(invalid: DataFrame, run: DataFrame) -> DataFrame:
     """Invalid fixtures that some fingerprint selected."""
-    return invalid.join(run.filter("outcome = 'SELECTED'"), "fixture", "left_semi")
+    # Aggregate first: a filter on the outcome itself would be pushed into the
+    # detection projections and repeat their expressions.
+    verdicts = run.groupBy("fixture").agg(F.max(F.col("outcome") == "SELECTED").alias("selected"))
+    return invalid.join(verdicts.filter("selected"), "fixture", "left_semi")
 
 
 def nondeterministic_rows(first: DataFrame, second: DataFrame) -> DataFrame:

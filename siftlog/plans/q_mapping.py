@@ -98,7 +98,7 @@ def envelope_issues_and_quality(spark, sf_dir):
 )
 def mapping_unmapped_fields(spark, sf_dir):
     out = mp.apply_mapping(parsed_as(spark, sf_dir, "kv"), bundles.MAPPINGS["kv"], with_unmapped=True)
-    return out.select("event_id", F.explode(F.map_keys("mapped.unmapped")).alias("path"))
+    return out.select("event_id", F.explode_outer(F.map_keys("mapped.unmapped")).alias("path")).filter("path IS NOT NULL")
 
 
 @query(
@@ -112,7 +112,7 @@ def mapping_unmapped_fields(spark, sf_dir):
 )
 def mapping_provenance(spark, sf_dir):
     out = mp.apply_mapping(parsed_as(spark, sf_dir, "kv"), bundles.MAPPINGS["kv"])
-    return out.select("event_id", F.explode("mapped.provenance").alias("target", "p")).select("event_id", "target", "p.kind", "p.source_path", "p.mapping_version")
+    return out.select("event_id", F.explode_outer("mapped.provenance").alias("target", "p")).filter("target IS NOT NULL").select("event_id", "target", "p.kind", "p.source_path", "p.mapping_version")
 
 
 @query(
