@@ -221,7 +221,9 @@ def project_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("quality.score").cast("float").alias("quality_score"),
         F.transform("processing.issues", lambda i: i["code"]).alias("issue_codes"),
         F.col("envelope_json"),
-        bad.alias("_bad"),
+        # As generator output the verdict is a plain column: the two filters below
+        # are not pushed into (and copied over) the interpretation projections.
+        F.explode_outer(F.array(bad)).alias("_bad"),
     )
     good = flat.filter("_bad IS NULL").drop("_bad")
     rejects = flat.filter("_bad IS NOT NULL").select("receipt_id", "revision_id", F.concat(F.lit("event."), "_bad").alias("field"))
