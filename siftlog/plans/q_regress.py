@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftlog.operators import mapping as mp
 from siftlog.operators import regress
 from siftlog.operators.detect import Fingerprint, Routes, detect
+from siftlog.operators.parse import parse_captures
 from siftlog.plans import bundles, domain
 from siftlog.plans.q_parse import parsed_as
 from siftlog.plans.registry import query
@@ -76,3 +77,19 @@ def regress_compatibility(spark, sf_dir):
         k.alias("bundle_id"), F.when(k % 7 == 0, "old/1").otherwise("s/1").alias("envelope_schema"), F.when(k % 5 == 0, "0.9").otherwise("1.9").alias("taxonomy_version"),
         F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")).alias("minimum_engine"), F.when(k % 3 == 0, "1.25.0-rc.1").otherwise("").alias("maximum_engine")),
         "s/1", "1.9", "1.25.0")
+
+
+@query(
+    "regress_capture_fixtures",
+    "SELECT page_id AS fixture, CASE WHEN page_id % 20 = 3 THEN 'MATCH_DIFFERS' ELSE 'FIELDS_DIFFER' END AS problem FROM pages WHERE page_id % 20 IN (3, 4)",
+)
+def regress_capture_fixtures(spark, sf_dir):
+    """Captured URL parts against parts cut by string functions; two kinds of wrong expectation are put in."""
+    pages = domain.table(spark, sf_dir, "pages").select(F.col("page_id").alias("fixture"), "url")
+    out = parse_captures(pages, "url", "parsed", r"^(?P<scheme>https?)://(?P<host>[^/?#]+)(?P<rest>.*)$", "url")
+    parsed = out.select("fixture", "parsed.status", F.try_variant_get("parsed.fields", "$", "map<string,string>").alias("fields"))
+    scheme, host = F.substring_index("url", "://", 1), F.regexp_extract("url", "://([^/?#]+)", 1)
+    rest = F.substr("url", F.length(scheme) + F.length(host) + 4)
+    n = F.col("fixture") % 20
+    want = F.create_map(F.lit("scheme"), scheme, F.lit("host"), F.when(n == 4, F.upper(host)).otherwise(host), F.lit("rest"), rest)
+    return regress.capture_failures(parsed, pages.select("fixture", (n != 3).alias("matches"), want.alias("fields")))
