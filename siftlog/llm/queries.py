@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import line_dedup, secrets, sharding
+from siftlog.llm import line_dedup, quality, secrets, sharding, simhash
 from siftlog.llm.common import documents
 from siftlog.llm.registry import query
 
@@ -38,3 +38,13 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "quality.*")
