@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import line_dedup, quality, secrets, sharding, simhash
-from siftlog.llm.common import documents
+from siftlog.llm import classifier, line_dedup, quality, secrets, sharding, simhash, tokens
+from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
+from siftlog.session import shared_dir
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_dir(spark, "llm-token-files")
+    tokens.write_tokens(documents(spark, sf_dir), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_tokens(spark, root, crc_only=True).withColumnRenamed("id", "doc_id")
 
 
 @query("op2_line_dedup", oracle="""
@@ -25,6 +34,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = classifier.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    return classifier.score_documents(docs, model, keep=["doc_id"]).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op5_secret_scans")
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
