@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import classifier, line_dedup, quality, secrets, sharding, simhash, tokens
+from siftlog.llm import bpe, classifier, line_dedup, quality, secrets, sharding, simhash, tokens
 from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
 from siftlog.session import shared_dir
@@ -57,6 +57,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_byte_level_bpe")
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_texts(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_tokens(encoded, ranks).select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
