@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import bpe, classifier, line_dedup, lm, quality, secrets, sharding, simhash, tokens
+from siftlog.llm import bpe, classifier, decontaminate, line_dedup, lm, quality, secrets, sharding, simhash, tokens
 from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
 from siftlog.session import shared_dir
@@ -34,6 +34,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.max(F.struct("n_equal", "n_words", "start_word")).alias("b")).select("doc_id", "item_id", "b.*")
+
+
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
