@@ -1,30 +1,76 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicates, decontamination, tokens."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicates, decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns the columns of `documents`, the last one token ids. `run` writes
+each stage below the shared folder and reads it again, so a lost executor
+costs one stage at most.
+
+Defined results, beside those of the operators: a stage passes extra columns
+through unchanged, `n_chars` follows a changed text. Rows with a null id are
+never near-duplicates of others; they take part in all other stages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftlog.llm import bpe, decontaminate, line_dedup, quality, simhash
 from siftlog.llm.common import documents, stored
-from siftlog.llm.line_dedup import dedup_lines
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Near-duplicates share most of their five-word shingles: at least 0.8 of the bits of two 64-bit fingerprints agree
+#: in both together, and at most NEAR_BITS differ in the one that is searched.
+NEAR_WORDS, NEAR_BITS, NEAR_TOTAL, NEAR_SEEDS = 5, 10, 25, (42, 7)
+
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", *(["lang"] if "lang" in docs.columns else []))
+    return quality.rate_documents(packed, keep=["doc"]).filter("quality.kept").select("doc.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove long lines that at least five documents share, but for the largest doc_id."""
-    from pyspark.sql import functions as F
+    """Documents without long lines that at least five share, but for the largest doc_id."""
+    out = line_dedup.dedup_lines(docs, result="_lines").drop("_lines")
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates."""
+    found = simhash.near_duplicates(docs, words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
+    keepers = stored(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "keepers")
+    named = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def drop_leaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
-    out = dedup_lines(docs).drop("line_dedup")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, tokens, text): the ids of every document, and the text they decode to."""
+    ranks = public_tokenizers.path(RANKS)
+    encoded = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.decode_tokens(encoded, ranks).select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.col("decoded").cast("string").alias("text"))
 
 
-STAGES = [("line_dedup", drop_shared_lines)]
+STAGES = [
+    ("quality_rules", keep_good_documents),
+    ("line_dedup", drop_shared_lines),
+    ("simhash_near_dedup", keep_one_of_near_duplicates),
+    ("benchmark_decontamination", drop_leaked_documents),
+    ("byte_level_bpe", encode_and_decode),
+]
 
+#: No SQL: the quality model, fingerprints and merges have none. tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,11 +26,11 @@ def line_key(line):
     return lowered(F.btrim(line, F.lit(SPACES)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """`docs` with shared lines removed from `text_col`, plus a struct column `line_dedup` (n_lines, n_dropped).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, result: str = "line_dedup") -> DataFrame:
+    """`docs` with shared lines removed from `text_col`, plus a struct column `result` (n_lines, n_dropped).
 
     A key of at least `min_chars` code points in at least `min_docs` documents
-    stays only in the largest id holding it. A column `line_dedup` of the input is replaced.
+    stays only in the largest id holding it. A column of that name in the input is replaced.
     """
     base = docs.select(
         F.struct(*docs.columns).alias("doc"),
@@ -67,5 +67,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(F.col("gone").isNull(), F.col("txt")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("parts", i + 1)), "\n")),
         )
     )
-    columns = [F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "line_dedup"]
-    return out.select(*columns, F.struct(F.size("parts").cast("long").alias("n_lines"), "n_dropped").alias("line_dedup"))
+    columns = [F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != result]
+    return out.select(*columns, F.struct(F.size("parts").cast("long").alias("n_lines"), "n_dropped").alias(result))
