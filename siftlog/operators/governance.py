@@ -54,15 +54,23 @@ def retention_candidates(receipts: DataFrame, holds: DataFrame, cutoff_ns: int,
     return old.join(by_receipt, ["tenant_id", "receipt_id"], "left_anti").join(by_tenant, "tenant_id", "left_anti")
 
 
+def verify_candidates(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates with `verified`: the stored bytes are there, of the size and digest of the receipt.
+
+    `stored`: ref, sha256, size_bytes.
+    """
+    held = stored.select(F.col("ref").alias("raw_ref"), F.col("sha256").alias("_sha"), F.col("size_bytes").alias("_size"))
+    ok = F.coalesce((F.col("_sha") == F.col("raw_sha256")) & (F.col("_size") == F.col("raw_size")), F.lit(False))
+    return candidates.join(held, "raw_ref", "left").withColumn("verified", ok).drop("_sha", "_size")
+
+
 def retention_report(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Examined, expired and freed bytes per tenant.
 
     Only verified bytes may expire. `stored`: ref, sha256, size_bytes.
     """
-    held = stored.select(F.col("ref").alias("raw_ref"), F.col("sha256").alias("_sha"), F.col("size_bytes").alias("_size"))
-    checked = candidates.join(held, "raw_ref", "left")
-    ok = F.coalesce((F.col("_sha") == F.col("raw_sha256")) & (F.col("_size") == F.col("raw_size")), F.lit(False))
-    return checked.groupBy("tenant_id").agg(
+    ok = F.col("verified")
+    return verify_candidates(candidates, stored).groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("examined"),
         F.count_if(ok).alias("expired"),
         F.coalesce(F.sum(F.when(ok, F.col("raw_size"))), F.lit(0)).alias("bytes_freed"),
@@ -70,9 +78,12 @@ def retention_report(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def expire_raw(receipts: DataFrame, expired: DataFrame) -> DataFrame:
-    """Receipts table with the expired rows marked unavailable (id and digest must match)."""
-    gone = expired.select("receipt_id", "raw_sha256").distinct().withColumn("_gone", F.lit(True))
+def expire_raw(receipts: DataFrame, candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Receipts table with verified candidates marked unavailable (id and digest must match).
+
+    Candidates whose bytes are missing or altered keep their flag: they are evidence of a fault.
+    """
+    gone = verify_candidates(candidates, stored).filter("verified").select("receipt_id", "raw_sha256").distinct().withColumn("_gone", F.lit(True))
     joined = receipts.join(gone, ["receipt_id", "raw_sha256"], "left")
     flag = F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("raw_available"))
     return joined.withColumn("raw_available", flag).select(*receipts.columns)

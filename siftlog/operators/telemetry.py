@@ -138,10 +138,12 @@ def label_violations(series: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def series_budget(allowed: DataFrame) -> DataFrame:
-    """Possible series per metric and whether they exceed the budget."""
+    """Possible series per metric and whether they exceed the budget; past 2^62 the count stays there."""
     sizes = allowed.groupBy("metric", "label").agg(F.count_distinct("value").alias("n"))
-    # Product of label sizes through logarithms, rounded back to an integer.
-    product = F.round(F.exp(F.sum(F.log(F.col("n").cast("double"))))).cast("bigint")
+    most = F.lit(1 << 62).cast("bigint")
+    # A metric has a handful of labels, so the list is short.
+    product = F.aggregate(
+        F.collect_list("n"), F.lit(1).cast("bigint"), lambda total, n: F.when(total > F.call_function("div", most, n), most).otherwise(total * n))
     return sizes.groupBy("metric").agg(product.alias("possible_series")).withColumn("over_budget", F.col("possible_series") > MAX_SERIES)
 
 

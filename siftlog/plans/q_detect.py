@@ -85,7 +85,8 @@ def detect_bundle_route(spark, sf_dir):
     The bundle of p1 has two close, incompatible fingerprints, so nothing is selected.
     """
     rows = _raw(spark, sf_dir).withColumn("source_profile_id", F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")))
-    active = rows.filter("event_id < 2").select("source_profile_id", F.concat(F.lit("bundle-"), F.col("event_id").cast("string")).alias("bundle_sha256")).distinct()
+    profile = F.col("source_profile_id")
+    active = rows.filter(profile.isin("p0", "p1")).select(profile, F.concat(F.lit("bundle-"), F.substring(profile, 2, 1)).alias("bundle_sha256")).distinct()
     kv = Fingerprint("bundle-kv", "kv", ("time=", "synthetic=true", "sport="), 950, 200, bundle_sha256="bundle-0")
     twins = [
         Fingerprint("twin-a", "kv", ("=",), 900, 200, bundle_sha256="bundle-1", format="a"),

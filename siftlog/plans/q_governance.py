@@ -32,8 +32,9 @@ query(
 )(lambda s, d: gov.retention_report(_candidates(s, d), domain.inventory(s, d)))
 query(
     "retention_expire",
-    f"SELECT receipt_id, raw_available AND receipt_id NOT IN (SELECT receipt_id FROM ({_CAND})) AS raw_available FROM receipts",
-)(lambda s, d: gov.expire_raw(domain.receipts(s, d), _candidates(s, d)).select("receipt_id", "raw_available"))
+    f"""SELECT receipt_id, raw_available AND receipt_id NOT IN (SELECT c.receipt_id FROM ({_CAND}) c JOIN inventory i ON i.ref = c.raw_ref
+ AND i.sha256 = c.raw_sha256 AND i.size_bytes = c.raw_size) AS raw_available FROM receipts""",
+)(lambda s, d: gov.expire_raw(domain.receipts(s, d), _candidates(s, d), domain.inventory(s, d)).select("receipt_id", "raw_available"))
 query(
     "hold_states",
     f"""SELECT hold_id, CASE WHEN released_at_ns IS NOT NULL THEN 'released' WHEN expires_at_ns <= {NOW_NS} THEN 'expired' ELSE 'open' END AS hold_state FROM holds""",

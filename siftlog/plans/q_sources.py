@@ -78,6 +78,21 @@ def source_profile_lookup(spark, sf_dir):
     return evidence.assign_profiles(rows, nets).select("event_id", "profile")
 
 
+@query(
+    "source_profile_per_customer",
+    """SELECT e.event_id, coalesce(max('c' || c.c_custkey), '') AS profile FROM events e LEFT JOIN customer c
+ ON c.c_custkey % 250 = e.user_id % 250 AND (c.c_custkey // 250) % 250 = e.event_id % 250 GROUP BY 1""",
+)
+def source_profile_per_customer(spark, sf_dir):
+    """One /24 network per customer: the list grows with the table, the plan stays."""
+    rows = domain.fields(domain.events(spark, sf_dir)).select("event_id", F.col("f_src").alias("peer_ip"))
+    key = F.col("c_custkey")
+    third = F.call_function("div", key, F.lit(250)) % 250
+    nets = domain.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("10."), (key % 250).cast("string"), F.lit("."), third.cast("string"), F.lit(".0/24")).alias("cidr"), F.concat(F.lit("c"), key.cast("string")).alias("profile"))
+    return evidence.assign_profiles(rows, nets).select("event_id", "profile")
+
+
 @query("ip_sort_key", "SELECT event_id, printf('00000000000000000000ffff%02x%02x%02x%02x', 10, user_id % 250, event_id % 250, (event_id * 7) % 250) AS key FROM events")
 def ip_sort_key(spark, sf_dir):
     rows = domain.fields(domain.events(spark, sf_dir))
@@ -103,7 +118,7 @@ def sink_parquet_partitions(spark, sf_dir):
 @query("sink_monthly_table", "SELECT strftime(make_timestamp(received_at_ns // 1000), '%Y%m') AS yyyymm, tenant_id, count(*) AS rows FROM flat_events GROUP BY 1, 2")
 def sink_monthly_table(spark, sf_dir):
     path = shared_dir(spark, "monthly")
-    sinks.write_monthly(_flat(spark, sf_dir), path, 4)
+    sinks.write_monthly(_flat(spark, sf_dir), path)
     return sinks.read_table(spark, path).groupBy(F.col("yyyymm").cast("string").alias("yyyymm"), "tenant_id").agg(F.count(F.lit(1)).alias("rows"))
 
 

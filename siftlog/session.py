@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,12 +54,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
-    Only a local-mode session without the setting falls back to a temporary
-    folder: on a cluster a machine-local path would be lost with its executor.
+    A local-mode session without the setting gets one of its own, as in tests. Any
+    other is refused: a machine-local path would be lost with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        root = os.path.join(tempfile.gettempdir(), f"siftlog-{os.getpid()}")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="siftlog-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
