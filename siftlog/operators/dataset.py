@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftlog import vocab
 from siftlog.functions.hashing import split_bucket
 from siftlog.functions.ip import canonical_ip
-from siftlog.functions.text import json_escape_html, rfc3339
+from siftlog.functions.text import json_escape_html, parse_rfc3339, rfc3339
 
 FEATURE_NAME = r"^[a-z][a-z0-9_]{0,63}$"
 FEATURE_PATH = r"^[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+$"
@@ -88,29 +88,42 @@ def select_envelopes(envelopes: DataFrame, tenant: str, from_ns: int, to_ns: int
     return rows
 
 
+def _strict(value: Column, kind: Column, wanted: str, cast) -> Column:
+    """The value as the wanted feature type, NULL when its own type is another one.
+
+    `kind` is the value's type (of its column, or of the VARIANT); `cast` converts
+    it. Only whole numbers pass as integers and only text as text: nothing is coerced.
+    """
+    whole = kind.isin("tinyint", "smallint", "int", "bigint")
+    numeric = whole | kind.isin("float", "double") | kind.startswith("decimal")
+    text = F.when(kind == "string", cast("string"))
+    number = F.when(numeric, cast("double"))
+    number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    if wanted == "timestamp":
+        return F.when(kind.startswith("timestamp"), rfc3339(cast("timestamp"))).otherwise(rfc3339(parse_rfc3339(text)))
+    if wanted == "ip":
+        return canonical_ip(text, unmap=False)
+    if wanted == "integer":
+        return F.when(whole, cast("bigint")).when(number == F.floor(number), cast("bigint"))
+    if wanted == "number":
+        return number
+    if wanted == "boolean":
+        return F.when(kind == "boolean", cast("boolean"))
+    return text
+
+
 def feature_column(feature: Feature) -> Column:
-    """Typed feature value as VARIANT; a wrong type or a missing required value fails the job."""
+    """Typed feature value; a wrong type or a missing required value fails the job."""
     parts = feature.source_path.split(".")
     value = F.col(parts[0])
-    in_extension = parts[:2] == ["event", "extensions"] and len(parts) > 2
-    if in_extension:
-        value = F.try_variant_get(F.col("event.extensions"), "$." + ".".join(parts[2:]), "string")
+    if parts[:2] == ["event", "extensions"] and len(parts) > 2:
+        value = F.try_variant_get(F.col("event.extensions"), "$." + ".".join(parts[2:]), "variant")
+        value = F.when(~F.is_variant_null(value), value)
+        out = _strict(value, F.lower(F.schema_of_variant(value)), feature.type, lambda to: F.try_variant_get(value, "$", to))
     else:
         for part in parts[1:]:
             value = value[part]
-    if feature.type == "timestamp":
-        out = rfc3339(value)
-    elif feature.type == "ip":
-        out = canonical_ip(value, unmap=False)
-    elif feature.type == "integer":
-        out = value.try_cast("bigint")
-    elif feature.type == "number":
-        number = value.try_cast("double")
-        out = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    elif feature.type == "boolean":
-        out = value.try_cast("boolean")
-    else:
-        out = value.cast("string")
+        out = _strict(value, F.typeof(value), feature.type, value.try_cast)
 
     def fail(text: str) -> Column:
         return F.raise_error(F.concat(F.lit(f"feature {feature.name} {text} in revision "), F.col("processing.revision_id")))

@@ -123,7 +123,10 @@ def builtin_probes(with_text: bool = True) -> list[Probe]:
     xml_like = head == "<"
     p_xml, p_el = F.coalesce(F.col("_p.xml_ok"), no), F.coalesce(F.col("_p.xml_element"), no)
     # Truncated text may stop in the middle of a value; it is then only a weak match.
-    json_score = F.when(json_like & json_ok, 900).when(json_like & F.col("_truncated"), 300).otherwise(0)
+    # A complete first line with more data behind it is no cut value but several.
+    first_line = F.substring_index(t, "\n", 1)
+    several = F.coalesce(F.when(json_like & F.col("_truncated") & t.contains("\n"), strict_json(first_line).isNotNull()), no)
+    json_score = F.when(json_like & json_ok, 900).when(json_like & F.col("_truncated") & ~several, 300).otherwise(0)
     xml_score = F.when(xml_like & p_xml & p_el, 900).when(xml_like & ~p_xml & F.col("_truncated"), 300).otherwise(0)
     first, second = F.get("_csv", F.lit(0)), F.get("_csv", F.lit(1))
     plain = first.rlike(CSV_HEADER_CELLS) & ~second.contains('"') & (count_char(first, ",") == count_char(second, ","))

@@ -189,33 +189,92 @@ def rule_violations(rules: DataFrame, aliases: DataFrame) -> DataFrame:
 
 # --- conversion -------------------------------------------------------------------
 
-# fixed values: reference-time layout elements and their date-format letters
+_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# fixed values: reference-time layout elements, the part of a time each one names and the text it accepts
 _LAYOUT = [
-    ("2006", "yyyy"), ("January", "MMMM"), ("Jan", "MMM"), ("01", "MM"), ("02", "dd"), ("_2", "ppd"), ("15", "HH"),
-    ("03", "hh"), ("04", "mm"), ("05", "ss"), ("PM", "a"), (".000000000", ".SSSSSSSSS"), (".000000", ".SSSSSS"), (".000", ".SSS"),
-    ("Z07:00", "XXX"), ("-07:00", "xxx"), ("-0700", "xx"), ("MST", "z"), ("T", "'T'"),
+    ("January", "month_name", "|".join(_MONTHS)), ("Jan", "month_name", "|".join(m[:3] for m in _MONTHS)),
+    ("Monday", "", "|".join(_DAYS)), ("Mon", "", "|".join(d[:3] for d in _DAYS)), ("MST", "", "[A-Z]{3,4}"),
+    ("2006", "year", "[0-9]{4}"), ("-07:00", "zone", "[+-][0-9]{2}:[0-9]{2}"), ("-0700", "zone", "[+-][0-9]{4}"), ("-07", "zone", "[+-][0-9]{2}"),
+    ("Z07:00", "zone", "Z|[+-][0-9]{2}:[0-9]{2}"), ("Z0700", "zone", "Z|[+-][0-9]{4}"),
+    ("01", "month", "[0-9]{2}"), ("02", "day", "[0-9]{2}"), ("03", "hour12", "[0-9]{2}"), ("04", "minute", "[0-9]{2}"), ("05", "second", "[0-9]{2}"),
+    ("06", "year2", "[0-9]{2}"), ("15", "hour", "[0-9]{2}"), ("_2", "day", "[ 0-9]?[0-9]"),
+    ("1", "month", "[0-9]{1,2}"), ("2", "day", "[0-9]{1,2}"), ("3", "hour12", "[0-9]{1,2}"), ("4", "minute", "[0-9]{1,2}"), ("5", "second", "[0-9]{1,2}"),
+    ("PM", "half", "AM|PM"), ("pm", "half", "am|pm"),
 ]
+_FRACTION = re.compile(r"[.,](?:0+|9+)(?![0-9])")
 
 
-def java_layout(layout: str) -> str:
-    pattern = "|".join(re.escape(k) for k, _ in _LAYOUT)
-    table = dict(_LAYOUT)
-    return re.sub(pattern, lambda m: table[m[0]], layout)
+def compile_layout(layout: str) -> tuple[str, list[str]]:
+    """One anchored pattern for a layout, and the part of a time that each of its groups holds.
+
+    A fraction may follow the seconds although the layout has none. A layout
+    without a year, month and day, or with a part named twice, is refused.
+    """
+    pattern, parts, at = "", [], 0
+    while at < len(layout):
+        fraction = _FRACTION.match(layout, at)
+        if fraction and parts and parts[-1] == "second":
+            size = len(fraction[0]) - 1
+            digits = f"[.,][0-9]{{{size}}}" if fraction[0][1] == "0" else "(?:[.,][0-9]{1,9})?"
+            pattern, at = pattern[: -len(_ANY_FRACTION)] + f"({digits})", fraction.end()
+            continue
+        for text, part, accepted in _LAYOUT:
+            if layout.startswith(text, at):
+                pattern += f"({accepted})" if part else f"(?:{accepted})"
+                parts += [part] if part else []
+                if part == "second":
+                    pattern += _ANY_FRACTION
+                at += len(text)
+                break
+        else:
+            pattern, at = pattern + re.escape(layout[at]), at + 1
+    names = [p.removesuffix("_name").removesuffix("2") if p in ("month_name", "year2") else "hour" if p == "hour12" else p for p in parts]
+    if len(set(names)) < len(names) or not {"year", "month", "day"} <= set(names):
+        raise ValueError(f"timestamp layout {layout!r} names no date, or a part twice")
+    # each group of seconds is followed by the group of their fraction
+    return f"^{pattern}$", [x for p in parts for x in ([p, "fraction"] if p == "second" else [p])]
+
+
+_ANY_FRACTION = "((?:[.,][0-9]{1,9})?)"
+
+
+def parse_layout(text: Column, layout: str, timezone: str) -> Column:
+    """TIMESTAMP of text in one layout, NULL when it does not match or names no real time."""
+    pattern, names = compile_layout(layout)
+    part = {name: F.regexp_extract(text, pattern, k + 1) for k, name in enumerate(names)}
+
+    def number(name: str, default: int) -> Column:
+        return F.trim(part[name]).try_cast("int") if name in part else F.lit(default)
+
+    month = number("month", 1)
+    if "month_name" in part:
+        month = F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), F.substring(part["month_name"], 1, 3)).cast("int")
+    year = number("year", 1)
+    if "year2" in part:
+        short = number("year2", 0)
+        year = F.when(short >= 69, short + 1900).otherwise(short + 2000)
+    hour = number("hour", 0)
+    if "hour12" in part:
+        clock = F.when(number("hour12", 0).between(0, 12), number("hour12", 0))
+        late = F.upper(part["half"]) == "PM" if "half" in part else F.lit(False)
+        hour = F.when(late & (clock < 12), clock + 12).when(F.lit("half" in part) & ~late & (clock == 12), 0).otherwise(clock)
+    fraction = F.rpad(F.substring(F.regexp_replace(part["fraction"], "^[.,]", ""), 1, 6), 6, "0").try_cast("int") if "fraction" in part else F.lit(0)
+    seconds = number("second", 0)
+    at = F.try_make_timestamp(year, month, number("day", 1), hour, number("minute", 0), F.when(seconds < 60, seconds).cast("decimal(16,6)"), F.lit("UTC"))
+    micros = F.unix_micros(at) + F.coalesce(fraction, F.lit(0))
+    if "zone" in part:
+        digits = F.regexp_replace(part["zone"], "[^0-9]", "")
+        offset = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        micros = micros - F.when(part["zone"].startswith("-"), -offset).otherwise(offset).cast("bigint") * 60_000_000
+    found = F.when(text.rlike(pattern), F.timestamp_micros(micros))
+    zoned = "zone" in part or "MST" in layout
+    return found if zoned or timezone in ("", "UTC") else F.to_utc_timestamp(found, timezone)
 
 
 def parse_timestamp(text: Column, layouts: tuple[str, ...], timezone: str) -> Column:
     """First layout that matches; layouts without a zone use the fixed offset."""
-    tries = []
-    for layout in layouts:
-        if layout in ("RFC3339", "RFC3339Nano"):
-            tries.append(parse_rfc3339(text))
-            continue
-        parsed = F.try_to_timestamp(text, F.lit(java_layout(layout)))
-        zoned = any(z in layout for z in ("Z07", "-0700", "-07:00", "MST"))
-        if not zoned and timezone not in ("", "UTC"):
-            parsed = F.to_utc_timestamp(parsed, timezone)
-        tries.append(parsed)
-    return F.coalesce(*tries)
+    return F.coalesce(*[parse_rfc3339(text) if layout in ("RFC3339", "RFC3339Nano") else parse_layout(text, layout, timezone) for layout in layouts])
 
 
 TEXT_CONVERSIONS = ("string", "lowercase", "ip", "timestamp")

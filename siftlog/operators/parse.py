@@ -110,13 +110,15 @@ def parse_kv(df: DataFrame, text: str, out: str) -> DataFrame:
     quote_body = F.substr(rest, F.length(head) + 1)
     closed = F.regexp_extract(quote_body, rf"(?s)^(?:{_DQ}|{_SQ})", 0)
     full = F.size(tok) >= vocab.MAX_FIELDS
+    # An escape that the end cuts off is reported where it begins.
+    cut_escape = F.when(rest.rlike(r"(?s)^(?:[^\\]++|\\.)*+\\\z"), 1).otherwise(0)
     stop = (
         F.when(rest == "", F.lit(None))
         .when(head == "", issue("KV_TOKEN_MALFORMED", "WARNING", at, "expected key=value token"))
         .when(full, issue("KV_FIELD_LIMIT_EXCEEDED", "WARNING", at, f"key-value fields exceed the field limit of {vocab.MAX_FIELDS}"))
         .when(closed != "", issue("KV_TOKEN_MALFORMED", "WARNING", at + F.octet_length(head) + F.octet_length(closed),
                                   "key-value token has malformed data after a quoted value"))
-        .otherwise(issue("KV_UNTERMINATED_QUOTE", "WARNING", at + F.octet_length(rest), "key-value token has an unterminated quoted value"))
+        .otherwise(issue("KV_UNTERMINATED_QUOTE", "WARNING", at + F.octet_length(rest) - cut_escape, "key-value token has an unterminated quoted value"))
     )
     df = df.withColumn("_iss", F.concat(token_issues, some_issues(stop)))
     iss = F.col("_iss")

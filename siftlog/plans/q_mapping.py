@@ -152,6 +152,30 @@ def convert_timestamp_layouts(spark, sf_dir):
     return o.select("o_orderkey", us("yyyy-MM-dd HH:mm:ss", "+05:30").alias("offset_us"), us("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("plain_us"), us("dd/MM/yyyy").alias("day_us"))
 
 
+_SHAPES = {
+    "rfc1123": ("Mon, 02 Jan 2006 15:04:05 MST", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+    "ansi": ("Mon Jan _2 15:04:05 2006", "EEE MMM d HH:mm:ss yyyy"),
+    "one_digit": ("1/2/2006 15:04:05", "M/d/yyyy HH:mm:ss"),
+    "named": ("Jan 2 2006 15:04:05", "MMM d yyyy HH:mm:ss.SSS"),
+    "full_name": ("January 02, 2006 03:04:05 PM", "MMMM dd, yyyy hh:mm:ss a"),
+    "zoned": ("2006-01-02 15:04:05 -0700", "yyyy-MM-dd HH:mm:ss '-0130'"),
+    "short_year": ("02.01.06 15:04", "dd.MM.yy HH:mm"),
+    "fraction": ("20060102150405.000", "yyyyMMddHHmmss.SSS"),
+}
+
+
+@query(
+    "convert_timestamp_shapes",
+    "SELECT o_orderkey, " + ", ".join(
+        f"epoch_us(o_orderdate) + ({'o_orderkey % 1000 * 1000' if name in ('named', 'fraction') else 0}) + {5_400_000_000 if name == 'zoned' else 0} AS {name}" for name in _SHAPES) + " FROM orders",
+)
+def convert_timestamp_shapes(spark, sf_dir):
+    """Weekdays, one-digit and named months, half days, zones, two-digit years, fractions with and without a layout for them."""
+    o = domain.table(spark, sf_dir, "orders")
+    ts = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 1000 * 1000)
+    return o.select("o_orderkey", *[F.unix_micros(mp.parse_timestamp(F.date_format(ts, shown), (layout,), "")).alias(name) for name, (layout, shown) in _SHAPES.items()])
+
+
 @query(
     "mapping_rule_checks",
     """WITH r AS (SELECT p_brand AS mapping_id, p_type || '-' || (p_partkey % 50) AS rule_id, CASE WHEN p_partkey % 9 = 0 THEN 'receipt.peer' ELSE 'event.extensions.k' || p_partkey END AS target FROM part),
