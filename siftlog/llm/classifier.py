@@ -29,7 +29,7 @@ from siftlog.llm.words import filled, slices
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
-MAX_ROWS = 4000
+MAX_ROWS = 2500
 EPOCHS = 6
 SLICE_BYTES = 1 << 20
 
@@ -74,17 +74,17 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def bags(rows: DataFrame, buckets: int) -> DataFrame:
-    """(id, label, bucket, n): distinct features of each row of (id, label, txt)."""
+    """(id, label, bucket, n): distinct features of each row of (id, label, txt) and their counts, as packed numbers of four bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.unique(features(t, buckets), return_counts=True) for t in filled(batch.column(2)).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
-                pa.array([b.astype(np.int32) for b, _ in got], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in got], pa.list_(pa.int32()))],
+                pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())],
                 names=["id", "label", "bucket", "n"])
 
-    return rows.mapInArrow(run, "id string, label int, bucket array<int>, n array<int>")
+    return rows.mapInArrow(run, "id string, label int, bucket binary, n binary")
 
 
 class Subwords:
@@ -129,9 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
     texts = docs.select(name.alias("id"), F.col(text_col).alias("txt")).join(chosen, "id").select("id", "label", "txt")
-    rows = bags(texts, buckets).toPandas().sort_values("id", kind="stable")
+    rows = bags(texts, buckets).toArrow().sort_by("id")
+    examples = [
+        (np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4"), label)
+        for b, n, label in zip(rows["bucket"], rows["n"], rows["label"].to_pylist(), strict=True)]
     model = Subwords(buckets)
-    model.train([(np.asarray(b), np.asarray(n), int(x)) for b, n, x in zip(rows["bucket"], rows["n"], rows["label"], strict=True)])
+    model.train(examples)
     return model
 
 

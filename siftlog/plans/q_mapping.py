@@ -18,7 +18,7 @@ _PLANS: dict = {}
 
 def envelopes(spark, sf_dir):
     """Envelopes of every rendered event. The lazy plan is kept per session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PLANS:
         rows = spread(domain.receipts(spark, sf_dir, with_raw=True))
         _PLANS[key] = interpret(rows, F.timestamp_micros(F.lit(domain.NOW_US)))
