@@ -43,12 +43,15 @@ def test_network_bounds(spark):
         assert (row["lo"], row["hi"]) == (f"{int(net.network_address) | shift:032x}", f"{int(net.broadcast_address) | shift:032x}")
 
 
-def test_long_network_list_gives_the_same_profiles(spark, monkeypatch):
+def test_profiles_of_short_and_long_network_lists_equal_brute_force(spark):
     peers = spark.createDataFrame([(f"r{i}", f"10.{i % 40}.{i}.1") for i in range(200)], "receipt_id string, peer_ip string")
-    nets = spark.createDataFrame([("10.0.0.0/9", "half"), ("10.0.0.0/12", "wide"), ("10.7.0.0/16", "narrow")], "cidr string, profile string")
-    short = sorted(map(tuple, evidence.assign_profiles(peers, nets).select("receipt_id", "profile").collect()))
-    monkeypatch.setattr(evidence, "MAX_LITERAL_NETWORKS", 1)
-    assert sorted(map(tuple, evidence.assign_profiles(peers, nets).select("receipt_id", "profile").collect())) == short
+    short = [("10.0.0.0/9", "half"), ("10.0.0.0/12", "wide"), ("10.7.0.0/16", "narrow")]
+    long = short + [(f"10.{i // 200}.{i % 200}.0/24", f"n{i}") for i in range(1500)]
+    for listed in (short, long):
+        nets = sorted(((ipaddress.ip_network(cidr), name) for cidr, name in listed), key=lambda net: -net[0].prefixlen)
+        for row in evidence.assign_profiles(peers, spark.createDataFrame(listed, "cidr string, profile string")).collect():
+            peer = ipaddress.ip_address(row["peer_ip"])
+            assert row["profile"] == next((name for net, name in nets if peer in net), "")
 
 
 def test_split_bucket_matches_big_integers(spark):
