@@ -84,17 +84,18 @@ def find_overlaps(
     items_words, windows = item_windows(items, item_col, item_text_col)
     sketch = stored(sketch_of(windows), "sketch").scalar()
     text = whole_text(text_col)
-    base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, 1).alias("key1"), row_key(id_col, text_col, 2).alias("key2"), word_hashes(text).alias("words"))
-    seen = lambda h: [F.get(F.col("sketch"), w).bitwiseAND(b) != 0 for w, b in sketch_bits(h)]
-    hashes = [window_hash("words", F.col("pos"), m) for m in range(len(MASKS))]
+    # the words are written once: Spark would otherwise split and hash the texts again for each use of them
+    base = stored(
+        docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, 1).alias("key1"), row_key(id_col, text_col, 2).alias("key2"), word_hashes(text).alias("words")),
+        "words")
+    hashes = F.array(*[window_hash("words", F.col("pos"), m) for m in range(len(MASKS))])
     probed = (
         base.filter(F.size("words") >= SPAN)
-        .withColumn("sketch", sketch)
         .withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)))
-        .select("key1", "key2", "pos", *[F.when(seen(h)[0] & seen(h)[1], h).alias(f"h{m}") for m, h in enumerate(hashes)])
-        .filter(F.coalesce("h0", "h1", "h2").isNotNull())
-        .select("key1", "key2", "pos", F.explode(F.array("h0", "h1", "h2")).alias("h")).filter(F.col("h").isNotNull())
+        .select("key1", "key2", "pos", F.explode(hashes).alias("h"))
     )
+    for place, bit in sketch_bits(F.col("h")):  # no column: rows between operators would each carry the whole sketch
+        probed = probed.filter(F.get(sketch, place).bitwiseAND(bit) != 0)
     lines = stored(
         probed.join(windows, "h").select("key1", "key2", "item", "n_item", (F.col("pos") - F.col("at")).alias("offset")).distinct(), "alignments")
     first = F.greatest(F.lit(0), -F.col("offset"))
