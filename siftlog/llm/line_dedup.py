@@ -3,7 +3,7 @@
 Lines are exploded, normalised and hashed; distinct documents are counted per
 hash; lines over the threshold go, and the rest is reassembled by position.
 
-Only (hash, doc_id, position) rows are shuffled for the counts and the lookup.
+Only (hash, doc_id, position) rows of long lines are written and shuffled, for the counts and the lookup.
 The count is a two-level distinct aggregate, so a line held by a third of all
 documents is combined before each shuffle. The lookup reads the frequent
 hashes from a written table, which leaves both join sides plain exchanges that
@@ -21,11 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from siftlog.llm.common import SPACES, lowered, stored, whole_text
 
 
-def line_key(line):
-    """A line without outer white space, A-Z lower-cased."""
-    return lowered(F.btrim(line, F.lit(SPACES)))
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, result: str = "line_dedup") -> DataFrame:
     """`docs` with shared lines removed from `text_col`, plus a struct column `result` (n_lines, n_dropped).
 
@@ -37,11 +32,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"),
         whole_text(text_col).alias("txt"),
     ).withColumn("version", F.xxhash64("txt"))
-    lines = (
+    # the length is tested before lower-casing, which does not change it; the rows are written once for count and lookup
+    lines = stored(
         base.select("id", "version", F.posexplode(F.split("txt", "\n", -1)).alias("pos", "line"))
-        .withColumn("key", line_key(F.col("line")))
-        .filter((F.char_length("key") >= min_chars) & F.col("id").isNotNull())
-        .select("id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
+        .withColumn("trimmed", F.btrim("line", F.lit(SPACES)))
+        .filter((F.char_length("trimmed") >= min_chars) & F.col("id").isNotNull())
+        .withColumn("key", lowered(F.col("trimmed")))
+        .select("id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2")),
+        "long-lines",
     )
     frequent = stored(
         lines.groupBy("h1", "h2")
