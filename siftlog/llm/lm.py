@@ -1,23 +1,23 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff automaton whose weights are Spark tables.
 
 Smoothed n-grams are states. A state has an arc for each word that follows it
-often, and a failure arc whose weight is the mass left for all other words; the
-start state has additive-smoothed word probabilities. A text is read once from
-left to right: every token takes an arc of the current state, after as many
-failure arcs as needed, and log-probabilities add up. The walk runs for all
-texts of a slice at once, one array step per order.
-
-Word counts are kept for every word of the training texts, as a table by word
-hash that grows with the corpus and never leaves Spark. Words and n-grams of
-at least `share` of all tokens form the automaton; there are at most 1 / share
-of each order whatever the corpus, which bounds what is broadcast. A count is
-pruned only by what is kept one order below, which loses nothing above the
-share. Rarer words have no arcs, so the state after them is the start state,
-and their own probability does not depend on where they stand: the pass adds
-up failure weights and sends the words with their numbers per text to a join
-with the word table. All words thus count in full.
-
-A word is known by its 64-bit hash. Ends of texts are a token of their own.
+at least `least` times, and a failure arc whose weight is the mass left for all
+other words; the start state has additive-smoothed word probabilities. `least`
+is a fixed count, so a text's model does not change with the corpus around it.
+
+A token is reached from its longest kept history by failure arcs and one arc.
+Every failure passed and every arc taken belongs to an n-gram that ends in the
+text, so the log-probability of a text is a sum over its n-grams, of one number
+per kept n-gram: what its arc has more than failing and taking the arc one
+order below, plus its own failure weight. N-grams that are not kept add zero.
+
+Counts and weights of all words and all kept n-grams stay in Spark and grow with
+the corpus. N-grams are dealt out by hash to buckets of bounded size, as packed
+arrays of each slice; a bucket counts, or adds up weights per text. Only a copy
+of the weights of what has `share` of all tokens is broadcast, at most 1 / share
+per order: those are added up at once, all others by bucket, with the same result.
+
+A word is known by its 64-bit hash, an n-gram by that of its two parts. Ends of texts are a token of their own.
 
 Defined results: null text is empty, with the end as its only token. Rows that
 repeat an id are trained on and scored each. Without training texts every
@@ -27,20 +27,27 @@ token has probability one (one type, V = 0).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlog.llm.common import stored
 from siftlog.llm.words import filled, slices, word_table
 
 ORDER = 3
+#: N-grams counted so often are kept, at every size of the corpus.
+LEAST = 2
+#: Share of all tokens from which a weight is also broadcast.
 SHARE = 4e-6
 DISCOUNT = 0.75
 ADDED = 0.1
 SLICE_BYTES = 8 << 20
+#: Buckets: at least so many, and one for so many tokens.
+BUCKETS, BUCKET_TOKENS = 64, 2_000_000
 
 
 def word_hash(word: str) -> int:
@@ -80,177 +87,203 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram, of those of it without its last and without its first word."""
+    h = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (second.view(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def grams(words: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order from 2 on: place of the last word, hash, and hashes of both parts, of each n-gram within a text."""
+    at = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
+    level = words
+    for k in range(1, order):
+        last = np.flatnonzero(at >= k)
+        first, second = level[last - 1], level[last]
+        h = joined(first, second)
+        yield last, h, first, second
+        level = level.copy()
+        level[last] = h
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h.view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+
+
+def bucket_column(h: str, buckets: int) -> Column:
+    return (F.shiftrightunsigned(h, 40) % buckets).cast("int")
+
+
+def packed(b: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """The columns' bytes of each bucket."""
+    order = np.argsort(b, kind="stable")
+    names, begins = np.unique(b[order], return_index=True)
+    columns = [c[order] for c in columns]
+    for name, start, stop in zip(names.tolist(), begins.tolist(), np.append(begins[1:], len(b))[: len(begins)].tolist(), strict=True):
+        yield name, [c[start:stop].tobytes() for c in columns]
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def count_grams(texts: DataFrame, order: int, buckets: int, least: int) -> DataFrame:
+    """(k, h, first, second, n): the n-grams of orders k from 2 on that all texts hold at least `least` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = filled(batch.column(0))
+            for start, stop in slices(column, SLICE_BYTES):
+                tokens, starts, hashes = token_hashes(column.slice(start, stop - start))
+                for k, (_, h, first, second) in enumerate(grams(hashes[tokens], starts, order), 2):
+                    h, one, n = np.unique(h, return_index=True, return_counts=True)
+                    rows = [(k, b, *parts) for b, parts in packed(bucket_of(h, buckets), first[one], second[one], n.astype("<i4"))]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["k", "b", "first", "second", "n"])
+
+    def count(group: pa.Table) -> pa.Table:
+        first, second, n = unpacked(group["first"], "<i8"), unpacked(group["second"], "<i8"), unpacked(group["n"], "<i4")
+        h = joined(first, second)
+        order = np.argsort(h, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        total = np.add.reduceat(n[order].astype(np.int64), begins)
+        kept = total >= least
+        one = order[begins[kept]]
+        return pa.table({"k": pa.array(np.full(len(one), group["k"][0].as_py(), np.int32)), "h": h[one], "first": first[one], "second": second[one], "n": total[kept]})
+
+    parts = texts.mapInArrow(run, "k int, b int, first binary, second binary, n binary")
+    return parts.groupBy("k", "b").applyInArrow(count, "k int, h bigint, first bigint, second bigint, n bigint")
+
+
+@dataclass
 class Automaton:
-    """Frequent words, and per order the n-grams above the share as sorted arcs (state, word)."""
+    """What the weights of all n-grams share, and those of the frequent ones, sorted by hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], [counts[order].astype(np.float64)]
-        self.tokens, self.types = tokens, types
-        self.arcs: list[np.ndarray] = []  # per order from 2 on: state of the history * number of words + word, sorted
-        self.log_words = np.log10(self.word_probability(self.counts[0]))
+    tokens: int
+    types: int
+    order: int
+    buckets: int
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]  # hash, log10 probability, weight
+    grams: tuple[np.ndarray, np.ndarray]  # hash, weight
 
     def word_probability(self, count):
         return (count + ADDED) / (self.tokens + ADDED * (self.types + 1))
 
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1, np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        return self._find(self.hashes, hashes)
-
-    def states(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Per order k, which n-gram of that order ends at each token, or -1."""
-        levels, first = [words], np.zeros(len(words), bool)
-        first[starts[:-1]] = True
-        for arcs in self.arcs:
-            before = np.concatenate(([-1], levels[-1][:-1]))
-            before[first] = -1
-            usable = (before >= 0) & (levels[-1] >= 0)
-            key = np.where(usable, before * len(self.hashes) + words, -1)
-            levels.append(np.where(usable, self._find(arcs, key), -1))
-        return levels
-
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams one order above the highest, of which both parts are kept."""
-        top = self.states(words, starts)[-1]
-        before = np.concatenate(([-1], top[:-1]))
-        before[starts[:-1]] = -1
-        usable = (before >= 0) & (top >= 0)
-        return before[usable] * len(self.hashes) + words[usable]
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.arcs.append(keys[order])
-        self.counts.append(counts[order].astype(np.float64))
-
-    def weigh(self) -> None:
-        """Arc and failure weights, order by order: discounted shares, and what is left over the mass the lower order gives to the other words."""
-        self.log_arcs, self.log_fail = [], []
-        for k, arcs in enumerate(self.arcs):
-            state, word = arcs // len(self.hashes), arcs % len(self.hashes)
-            part = (self.counts[k + 1] - DISCOUNT) / self.counts[k][state]
-            lower = 10 ** self._lower(k, state, word)
-            kept = np.bincount(state, weights=part, minlength=len(self.counts[k]))
-            covered = np.bincount(state, weights=lower, minlength=len(self.counts[k]))
-            self.log_arcs.append(np.log10(part))
-            self.log_fail.append(np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12)))
-
-    def _lower(self, k: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of the word after the state's failure arc; `state` is an n-gram of order k + 1."""
-        if k == 0:
-            return self.log_words[word]
-        suffix = self._suffix(k, state)
-        return self._step(k - 1, suffix, word)
-
-    def _suffix(self, k: int, state: np.ndarray) -> np.ndarray:
-        """The n-gram of order k without its first word, for one of order k + 1. It is kept as every part of a kept one."""
-        word, history = self.arcs[k - 1][state] % len(self.hashes), self.arcs[k - 1][state] // len(self.hashes)
-        if k == 1:
-            return word
-        return self._find(self.arcs[k - 2], self._suffix(k - 1, history) * len(self.hashes) + word)
-
-    def _step(self, k: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        at = self._find(self.arcs[k], state * len(self.hashes) + word)
-        return np.where(at >= 0, self.log_arcs[k][at] if len(self.arcs[k]) else 0.0, self.log_fail[k][state] + self._lower(k, state, word))
-
-    def walk(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; rare words (-1) have what their failure arcs weigh, and their own share is still to come."""
-        levels = self.states(words, starts)
-        out, open_ = np.zeros(len(words)), np.ones(len(words), bool)
-        for k in range(len(self.arcs) - 1, -1, -1):
-            before = np.concatenate(([-1], levels[k][:-1]))
-            before[starts[:-1]] = -1
-            here = np.flatnonzero(open_ & (before >= 0))
-            state, word = before[here], words[here]
-            at = np.where(word >= 0, self._find(self.arcs[k], state * len(self.hashes) + word), -1)
-            took = at >= 0
-            out[here[took]] += self.log_arcs[k][at[took]]
-            open_[here[took]] = False
-            out[here[~took]] += self.log_fail[k][state[~took]]
-        rest = open_ & (words >= 0)
-        out[rest] += self.log_words[words[rest]]
-        return out
-
-
-def train(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[DataFrame, Automaton]:
-    """The word table (h, n) of all texts, and the automaton of what has at least `share` of all tokens."""
-    table = stored(count_words(texts), "words")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least = max(2, int(np.ceil(share * total["n"])))
-    common = table.filter(F.col("n") >= least).toPandas()
-    automaton = Automaton(common["h"].to_numpy(np.int64), common["n"].to_numpy(np.int64), total["n"], total["v"])
-    context = texts.sparkSession.sparkContext
-    for _ in range(order - 1):
-        shared = context.broadcast(vars(automaton))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = of(shared.value)
-            for batch in batches:
-                column = filled(batch.column(0))
-                for start, stop in slices(column, SLICE_BYTES):
-                    tokens, starts, hashes = token_hashes(column.slice(start, stop - start))
-                    keys, n = np.unique(known.candidates(known.words(hashes)[tokens], starts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-        grams = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-        automaton.add_order(grams["h"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-    automaton.weigh()
-    return table, automaton
-
-
-def of(parts: dict) -> Automaton:
-    automaton = Automaton.__new__(Automaton)
-    vars(automaton).update(parts)
-    return automaton
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def train(texts: DataFrame, order: int = ORDER, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, Automaton]:
+    """(h, n, base, weight) of all words and kept n-grams, with `base` null for the latter, and what all tasks need."""
+    words = stored(count_words(texts), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    automaton = Automaton(total["n"], total["v"], order, max(BUCKETS, total["n"] // BUCKET_TOKENS), None, None)
+    chance = automaton.word_probability(F.col("n"))
+    # `part`: probability after the longest history; `gain`: its log10 less that of failing and taking the arc one order below
+    level = words.select("h", "n", chance.alias("part"), F.log10(chance).alias("gain"))
+    base, weights = F.log10("part"), []
+    counted = stored(count_grams(texts, order, automaton.buckets, least), "grams") if order > 1 else None
+    for k in range(2, order + 1):
+        own = counted.filter(F.col("k") == k).select("h", "first", "second", "n")
+        below = level.select(F.col("h").alias("second"), F.col("part").alias("lower"))
+        arcs = stored(own.join(below, "second").select("h", "first", "n", "lower"), "arcs")
+        sums = arcs.groupBy(F.col("first").alias("h")).agg(F.sum("n").alias("after"), F.count(F.lit(1)).alias("kinds"), F.sum("lower").alias("covered"))
+        left = 1 - (F.col("after") - DISCOUNT * F.col("kinds")) / F.col("n")
+        fail = F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12)))
+        states = stored(sums.join(level, "h").select("h", F.col("n").alias("times"), fail.alias("fail")), "states")
+        weights.append(level.join(states, "h", "left").select("h", "n", base.alias("base"), (F.col("gain") + F.coalesce("fail", F.lit(0.0))).alias("weight")))
+        part = (F.col("n") - DISCOUNT) / F.col("times")
+        level = stored(
+            arcs.join(states.withColumnRenamed("h", "first"), "first")
+            .select("h", "n", part.alias("part"), (F.log10(part) - F.log10("lower") - F.col("fail")).alias("gain")), "level")
+        base = F.lit(None).cast("double")
+    weights.append(level.select("h", "n", base.alias("base"), F.col("gain").alias("weight")))
+    table = weights[0]
+    for more in weights[1:]:
+        table = table.unionByName(more)
+    table = stored(table, "weights")
+    common = table.filter(F.col("n") >= _frequent(automaton, share)).toArrow().sort_by("h")
+    h, first, weight = (common[c].to_numpy() for c in ("h", "base", "weight"))
+    word = ~np.isnan(first.astype(np.float64))
+    automaton.words, automaton.grams = (h[word], first[word], weight[word]), (h[~word], weight[~word])
+    return table.withColumn("frequent", F.col("n") >= _frequent(automaton, share)), automaton
+
+
+def _frequent(automaton: Automaton, share: float) -> int:
+    return max(2, int(np.ceil(share * automaton.tokens)))
 
 
 def score_texts(docs: DataFrame, table: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; scores are log10 probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
     kind = docs.schema[id_col].dataType.simpleString()
+    wanted = "b int, slice bigint, h binary, text binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = of(shared.value)
+        known, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             column = filled(batch.column(1))
             for start, stop in slices(column, SLICE_BYTES):
                 tokens, starts, hashes = token_hashes(column.slice(start, stop - start))
-                numbers = known.words(hashes)
-                words = numbers[tokens]
-                walked = np.add.reduceat(known.walk(words, starts), starts[:-1])
-                frequent = words >= 0
-                base = np.add.reduceat(np.where(frequent, known.log_words[words] if len(known.hashes) else 0.0, 0.0), starts[:-1])
-                n_known = np.add.reduceat(frequent.astype(np.int64), starts[:-1])
-                text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[~frequent]
-                rare, n = np.unique(text * len(hashes) + tokens[~frequent], return_counts=True)
-                ends = np.searchsorted(rare // len(hashes), np.arange(len(starts))).astype(np.int32)
+                text = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(starts))
+                sums = lambda values, at=starts[:-1]: np.add.reduceat(values, at)
+                place = find(known.words[0], hashes)[tokens]
+                frequent = place >= 0
+                base, score = (np.where(frequent, c[place], 0.0) if len(c) else np.zeros(len(tokens)) for c in known.words[1:])
+                h, where = [hashes[tokens[~frequent]]], [text[~frequent]]
+                for last, gram, _, _ in grams(hashes[tokens], starts, known.order):
+                    place = find(known.grams[0], gram)
+                    hit = place >= 0
+                    score[last[hit]] += known.grams[1][place[hit]]
+                    h.append(gram[~hit])
+                    where.append(text[last[~hit]])
+                n = stop - start
+                rows = pa.array(row + np.arange(n))
+                nothing = lambda t, m=n: pa.nulls(m, t)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, stop - start), pa.array(np.diff(starts)), pa.array(n_known), pa.array(base), pa.array(walked),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[rare % len(hashes)])), pa.ListArray.from_arrays(pa.array(ends), pa.array(n.astype(np.int32)))],
-                    names=["id", "n_tokens", "n_frequent", "base", "walked", "rare", "times"])
-
-    walked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).mapInArrow(
-        run, f"id {kind}, n_tokens bigint, n_frequent bigint, base double, walked double, rare array<bigint>, times array<int>")
-    rows = stored(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    chance = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / (automaton.tokens + ADDED * (automaton.types + 1)))
-    rest = (
-        rare.join(table.filter(F.col("n") < _least(automaton)) if len(automaton.hashes) else table, "h", "left")
-        .groupBy("row").agg(F.sum(F.col("times") * chance).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+                    batch.column(0).slice(start, n), rows, pa.array(np.diff(starts)), pa.array(sums(frequent.astype(np.int64))), pa.array(sums(base)), pa.array(sums(score)),
+                    nothing(pa.int32()), nothing(pa.int64()), nothing(pa.binary()), nothing(pa.binary())], names=names)
+                h, where = np.concatenate(h), np.concatenate(where)
+                asked = [(b, row, *parts) for b, parts in packed(bucket_of(h, known.buckets), h, where)]
+                row += n
+                if asked:
+                    m = len(asked)
+                    columns = [pa.array(c, t) for c, t in zip(zip(*asked, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(m, batch.schema.field(0).type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), *columns], names=names)
+
+    def add_up(asked: pa.Table, weights: pa.Table) -> pa.Table:
+        """Per row what the bucket's n-grams weigh."""
+        weights = weights.sort_by("h")
+        keys, base, weight = (weights[c].to_numpy() for c in ("h", "base", "weight"))
+        h = unpacked(asked["h"], "<i8")
+        rows = np.repeat(asked["slice"].to_numpy(), np.array([len(t) // 4 for t in asked["text"].to_pylist()], np.int64)) + unpacked(asked["text"], "<i4")
+        place = find(keys, h)
+        hit = place >= 0
+        place, (row, at) = place[hit], np.unique(rows[hit], return_inverse=True)
+        base = base.astype(np.float64)[place]
+        return pa.table({
+            "row": row, "base": np.bincount(at, np.nan_to_num(base), len(row)).astype(np.float64), "weight": np.bincount(at, weight[place], len(row)).astype(np.float64),
+            "known": np.bincount(at, ~np.isnan(base), len(row)).astype(np.int64)})
+
+    names = ["id", "row", "n_tokens", "n_frequent", "base", "walked", "b", "slice", "h", "text"]
+    walked = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).mapInArrow(
+        run, f"id {kind}, row bigint, n_tokens bigint, n_frequent bigint, base double, walked double, {wanted}"), "walked")
+    rare = table.filter(~F.col("frequent")).select(bucket_column("h", automaton.buckets).alias("b"), "h", "base", "weight")
+    asked = walked.filter(F.col("b").isNotNull()).select("b", "slice", "h", "text")
+    found = (
+        asked.groupBy("b").cogroup(rare.groupBy("b")).applyInArrow(add_up, "row bigint, base double, weight double, known bigint")
+        .groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("base", "weight", "known")])
     )
-    rest_score = F.coalesce("rest", F.lit(0.0))
-    return rows.join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_frequent") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base") + rest_score).alias("base_score"), (F.col("walked") + rest_score).alias("score"))
-
-
-def _least(automaton: Automaton) -> int:
-    """Words counted less often than any frequent one."""
-    return int(automaton.counts[0].min())
-
+    n_known = F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))
+    unseen = (F.col("n_tokens") - n_known) * F.lit(float(np.log10(automaton.word_probability(0))))
+    return walked.filter(F.col("row").isNotNull()).drop("b", "slice", "h", "text").join(found, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", n_known.alias("n_known"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + unseen).alias("base_score"),
+        (F.col("walked") + F.coalesce("rare_weight", F.lit(0.0)) + unseen).alias("score"))

@@ -99,3 +99,13 @@ def test_odd_documents(spark):
     rows = lm.score_texts(docs, table, automaton).collect()
     assert len(rows) == docs.count() and all(r.n_known == 0 and abs(r.score) < 1e-9 for r in rows)
     assert lm.score_texts(no_documents(spark), table, automaton).count() == 0
+
+
+def test_rare_n_grams_count_at_every_size(spark):
+    texts = ["a b c a b d", "x y z x y z", *["q r s t u v w"] * 40, "a b d x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    plain = PlainModel(texts, 3, 1e-9)
+    for share in (0.05, 1e-9, 1.0):
+        table, automaton = lm.train(docs.select("text"), 3, share)
+        for r in lm.score_texts(docs, table, automaton).collect():
+            assert r.score == pytest.approx(plain.score(texts[r.doc_id], 3), abs=1e-9)
