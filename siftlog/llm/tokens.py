@@ -14,7 +14,8 @@ at most `sample_bytes` bytes, those of lowest id hash; it changes sizes only.
 
 The tokenizer splits a text at each single space and encodes each distinct
 piece of a slice once, with the same result as the whole text: byte-level
-pre-tokens never cross those places. Other tokenizers encode whole texts.
+pre-tokens never cross those places. Texts that hold the content of an added
+token, which the library matches first, and other tokenizers encode whole texts.
 
 Defined results: null text is empty and has only the end id. Rows of null id
 come first; rows that repeat an id follow each other by the hash of their text.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs as files
@@ -69,11 +71,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         setup = json.loads(self.tokenizer.to_str())
         before = setup.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not setup.get("normalizer")
+        self.added = [t["content"] for t in setup.get("added_tokens") or [] if t["content"]]
         self.pattern, self.letters, self.known = regex.compile(BYTE_LEVEL), byte_letters(), {}
 
     def pre_token(self, text: str) -> bytes:
@@ -98,6 +100,9 @@ class Encoder:
                 return self.pre_token(text[:-1]) + self.pre_token(text[-1])
         return b"".join([self.pre_token(t) for t in self.pattern.findall(text)])
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, slice by slice."""
         texts = filled(texts)
@@ -105,15 +110,21 @@ class Encoder:
             part = texts.slice(start, stop - start)
             if not self.by_piece:
                 for t in part.to_pylist():
-                    yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                    yield self.whole(t)
                 continue
+            cut = np.zeros(len(part), bool)
+            for content in self.added:
+                cut |= pc.match_substring(part, content).to_numpy(zero_copy_only=False)
+            if cut.any():
+                texts_cut = {k: part[k].as_py() for k in np.flatnonzero(cut).tolist()}
+                part = pc.if_else(pa.array(cut), "", part)
             codes, begins, pieces = chunk_table(part, self.pattern)
             ids = [self.piece(p) if p else b"" for p in pieces]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             all_ids = ragged(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(lengths) - lengths)[codes], lengths[codes])
             ends = np.concatenate(([0], np.cumsum(lengths[codes])))[begins]
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                yield all_ids[a:b]
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                yield self.whole(texts_cut[k]) if cut[k] else all_ids[a:b]
 
 
 def id_type(vocabulary: int) -> np.dtype:

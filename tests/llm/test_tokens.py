@@ -62,3 +62,15 @@ def test_no_documents_and_other_tokenizers(spark):
     docs = some_documents(spark).limit(20)
     rows = tokens.read_tokens(spark, written(spark, docs, path)).collect()
     assert sorted((r.id, list(r.ids)) for r in rows) == sorted(expected(docs, path))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_matched_as_the_library_does(spark, name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"text {added[0]} more", f"{added[0]}{added[-1]}", f"x{added[0]}", "no such token", f"{added[0]}\n a  b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.id: list(r.ids) for r in tokens.read_tokens(spark, written(spark, docs, path)).collect()}
+    assert rows == {k: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
