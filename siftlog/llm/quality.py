@@ -7,13 +7,13 @@ follow from the quartiles of all its documents, and documents outside a band
 are rejected. Counts of words, symbols, repeated lines and repeated word
 windows come from the same pass.
 
-Bounds: characters fall into 128 classes, so a language has at most 128^3
-trigrams whatever the corpus. Languages with less than 1 % of all documents
-share one model, so there are at most 101. The driver holds those counts;
-texts, scores and quartiles stay in Spark.
+Characters are whole code points, but for control characters, which count as
+one, and every language has a model and a band of its own, however rare. The
+driver holds the distinct trigrams of all languages and broadcasts them, which
+is not bounded; texts, scores and quartiles stay in Spark.
 
 Defined results: null text is empty and has no words; it fails the base
-rules, its perplexity is null. A null or rare language counts as "other".
+rules, its perplexity is null. Rows of null language share a model and a band.
 Repeated rows are rated alike. A struct column `quality` of the input is replaced.
 """
 
@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from siftlog.llm.common import SPACES, stored
 from siftlog.llm.words import filled, slices
 
-CLASSES = 128
+#: Three code points fit a signed 64-bit code.
+CLASSES = 1 << 21
+#: Class of control characters, and of what stands before a text.
+CONTROL = 95
 #: The symbols counted as such.
 SYMBOLS = b"#*$%&|<>"
 #: How far the bands lie from the median of log perplexity: in quartile distances, and at least so much;
@@ -67,14 +70,14 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def char_classes(text: str) -> np.ndarray:
-    """Printable ASCII as it is, other control characters together, the rest in 32 classes."""
+    """Control characters together, printable ASCII from zero on, the rest by code point."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(points < 127, np.where(points < 32, 95, points - 32), 96 + points % 32)
+    return np.where(points < 127, np.where(points < 32, CONTROL, points - 32), points)
 
 
 def trigram_codes(text: str) -> np.ndarray:
     """One code per character, with two line breaks before the text."""
-    c = np.concatenate(([95, 95], char_classes(text)))
+    c = np.concatenate(([CONTROL, CONTROL], char_classes(text)))
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
@@ -85,14 +88,15 @@ def count_trigrams(docs: DataFrame, text_col: str, lang: F.Column) -> DataFrame:
         for batch in batches:
             texts, langs = filled(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
             for start, stop in slices(texts, SLICE_BYTES):
-                strings = texts.slice(start, stop - start).to_pylist()
-                for name in np.unique(langs[start:stop].astype(str)):
-                    own = [trigram_codes(t) for t, x in zip(strings, langs[start:stop], strict=True) if x == name and t]
-                    if own:
-                        code, n = np.unique(np.concatenate(own), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
-
-    parts = docs.select(lang.alias("lang"), F.col(text_col).alias("txt")).mapInArrow(run, "lang string, code int, n bigint")
+                own: dict[str, list[np.ndarray]] = {}
+                for text, name in zip(texts.slice(start, stop - start).to_pylist(), langs[start:stop], strict=True):
+                    if text:
+                        own.setdefault(name, []).append(trigram_codes(text))
+                for name, codes in own.items():
+                    code, n = np.unique(np.concatenate(codes), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+    parts = docs.select(lang.alias("lang"), F.col(text_col).alias("txt")).mapInArrow(run, "lang string, code bigint, n bigint")
     return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -107,21 +111,22 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """Sorted code arrays of one language: trigrams, their contexts, bigrams, their contexts; and 128 unigrams."""
+    """Sorted code arrays of one language: trigrams, their contexts, bigrams, their contexts; and unigrams."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray):
         order = np.argsort(code)
         self.tri, n = code[order].astype(np.int64), n[order].astype(np.float64)
         low, first = self.tri % CLASSES**2, self.tri // CLASSES
         self.bi, bi_n = np.unique(low, return_counts=True)  # continuation counts: characters seen before the pair
-        uni_n = np.bincount(self.bi % CLASSES, minlength=CLASSES).astype(np.float64)
-        part, left = self._mix(uni_n, np.full(CLASSES, uni_n.sum()), np.zeros(CLASSES, np.int64), 1)
-        self.p1 = part + left[0] / CLASSES
+        self.uni, uni_n = np.unique(self.bi % CLASSES, return_counts=True)
+        part, left = self._mix(uni_n.astype(np.float64), np.full(len(uni_n), float(uni_n.sum())), np.zeros(len(uni_n), np.int64), 1)
+        self.p0 = left[0] / CLASSES
+        self.p1 = part + self.p0
         context2, at2 = np.unique(self.bi // CLASSES, return_inverse=True)
         total2 = np.bincount(at2, weights=bi_n)
         part, self.gamma2 = self._mix(bi_n.astype(np.float64), total2[at2], at2, len(context2))
         self.context2 = context2
-        self.p2 = part + self.gamma2[at2] * self.p1[self.bi % CLASSES]
+        self.p2 = part + self.gamma2[at2] * self.lowest(self.bi % CLASSES)
         self.context3, at3 = np.unique(first, return_inverse=True)
         total3 = np.bincount(at3, weights=n)
         part, self.gamma3 = self._mix(n, total3[at3], at3, len(self.context3))
@@ -145,10 +150,14 @@ class KneserNey:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return at, keys[at] == wanted
 
+    def lowest(self, one: np.ndarray) -> np.ndarray:
+        at, known = self._find(self.uni, one)
+        return np.where(known, self.p1[at], self.p0)
+
     def lower(self, pair: np.ndarray) -> np.ndarray:
         at, known = self._find(self.bi, pair)
         above, seen = self._find(self.context2, pair // CLASSES)
-        return np.where(known, self.p2[at], np.where(seen, self.gamma2[above], 1.0) * self.p1[pair % CLASSES])
+        return np.where(known, self.p2[at], np.where(seen, self.gamma2[above], 1.0) * self.lowest(pair % CLASSES))
 
     def log_probability(self, code: np.ndarray) -> np.ndarray:
         at, known = self._find(self.tri, code)
@@ -157,19 +166,16 @@ class KneserNey:
 
 
 def fit(docs: DataFrame, text_col: str, lang: F.Column) -> dict[str, KneserNey]:
-    """One model per language; at most 101 languages of at most 128^3 trigrams reach the driver."""
+    """One model per language; the driver holds all distinct trigrams."""
     table = count_trigrams(docs, text_col, lang).toPandas()
     return {name: KneserNey(part["code"].to_numpy(), part["n"].to_numpy()) for name, part in table.groupby("lang")}
 
 
-def languages(docs: DataFrame, lang_col: str, share: float = 0.01) -> F.Column:
-    """The language of a row, or "other" if it is null or has less than `share` of all rows."""
+def languages(docs: DataFrame, lang_col: str) -> F.Column:
+    """The language of a row behind a mark, which no language equals that rows of null language have."""
     if lang_col not in docs.columns:
-        return F.lit("other")
-    rows = docs.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    total = docs.count()
-    common = [r["lang"] for r in rows.filter((F.col("count") >= share * total) & F.col("lang").isNotNull()).collect()]
-    return F.when(F.col(lang_col).isin(common), F.col(lang_col).cast("string")).otherwise(F.lit("other")) if common else F.lit("other")
+        return F.lit("none")
+    return F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("none"))
 
 
 def rate_documents(
@@ -197,13 +203,17 @@ def rate_documents(
     rated = stored(docs.select(*columns, lang.alias("_quality_lang"), rating(F.col(text_col), lang).alias("quality")), "rated")
     quartiles = rated.filter("quality.log_perplexity is not null").groupBy("_quality_lang").agg(
         F.percentile_approx("quality.log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000)).alias("q"))
-    inside = F.lit(True)
     score = F.col("quality.log_perplexity")
-    short = F.lit(SHORT_TEXT) / F.sqrt("quality.n_scored")
+    short = F.lit(SHORT_TEXT) / F.sqrt(F.greatest("quality.n_scored", F.lit(1)))
+    bands: list[F.Column] = []
     for row in quartiles.collect():
         low, middle, high = row["q"]
         below, above = (max(band_width * x, LEAST_BAND) for x in (middle - low, high - middle))
-        inside = F.when(F.col("_quality_lang") == row["_quality_lang"], score.between(middle - below - short, middle + above + short)).otherwise(inside)
+        bands += [F.lit(row["_quality_lang"]), F.struct(F.lit(middle - below).alias("low"), F.lit(middle + above).alias("high"))]
+    inside = F.lit(True)
+    if bands:
+        band = F.try_element_at(F.create_map(*bands), F.col("_quality_lang"))
+        inside = score.between(band["low"] - short, band["high"] + short)
     n, repeated = F.col("quality.n_words"), F.col("quality.n_repeat_words")
     failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
     return rated.select(*columns, F.struct("quality.*", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept")).alias("quality"))

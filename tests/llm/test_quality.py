@@ -92,3 +92,14 @@ def test_bands_reject_noise_and_keep_prose(spark):
     rows = quality.rate_documents(docs, keep=["doc_id"]).withColumnRenamed("quality", "rating").join(labels, "doc_id").filter("not rating.base_failed").collect()
     share = lambda label: np.mean([r.rating.kept for r in rows if r.quality == label])
     assert share(1) > 0.97 and share(0) < share(1) - 0.05
+
+
+def test_rare_languages_and_other_letters_have_a_model_of_their_own(spark):
+    russian, greek = "мама мыла раму, рама мыла маму", "η μαμα εχει μια μηλια και μια ελια"
+    moved = "".join(chr(ord(c) + 32 * 64) if ord(c) > 127 else c for c in russian)
+    texts = [(f"a plain text number {k}", "en") for k in range(300)] + [(russian, "ru"), (greek, "el"), (moved, "zz"), ("no language here", None), ("nor here", None)]
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    rows = {r.text: r.p for r in quality.rate_documents(docs).select("text", F.col("quality.log_perplexity").alias("p")).collect()}
+    for text, lang in texts[300:]:
+        assert abs(rows[text] - plain_kneser_ney([t for t, x in texts if x == lang], text)) < 1e-9
+    assert not set(quality.char_classes(russian).tolist()) & set(quality.char_classes(moved.replace(" ", "").replace(",", "")).tolist())
