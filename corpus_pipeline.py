@@ -13,7 +13,7 @@ never near-duplicates of others; they take part in all other stages.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftlog.llm import bpe, decontaminate, line_dedup, quality, simhash
 from siftlog.llm.common import documents, stored
@@ -37,10 +37,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs, words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
-    keepers = stored(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "keepers")
-    named = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The row of smallest id of each group of near-duplicates, and of those of smallest text hash; of rows equal in both the smallest by its columns."""
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("_text_hash")))
+    found = simhash.near_duplicates(docs.select(key.alias("_near"), "text"), "_near", words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
+    keepers = stored(found.filter(F.col("_near") == F.col("component_id")).select("_near.*").distinct(), "keepers")
+    order = F.struct(*[f"`{c.name}`" for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))])
+    named = (
+        docs.withColumn("_text_hash", F.xxhash64("text")).join(keepers, ["doc_id", "_text_hash"], "left_semi")
+        .groupBy("doc_id", "_text_hash").agg(F.min_by(F.struct(*docs.columns), order).alias("_doc")).select("_doc.*")
+    )
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 

@@ -65,3 +65,11 @@ def test_odd_documents_pass_every_stage(spark):
             assert name == "byte_level_bpe" or out.columns == docs.columns
             assert out.count() <= docs.count()
         assert pipeline.encode_and_decode(spark, docs, DATA).count() == docs.count()
+
+
+def test_rows_of_one_id_with_other_texts_are_all_kept(spark):
+    words = [" ".join(f"{name}{k}" for k in range(60)) for name in "abc"]
+    rows = [(1, words[0], "z"), (1, words[0], "y"), (1, words[1], "x"), (2, words[1], "w"), (3, words[2], "v"), (None, words[2], "u")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    kept = pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
