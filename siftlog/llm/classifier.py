@@ -129,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
     texts = docs.select(name.alias("id"), F.col(text_col).alias("txt")).join(chosen, "id").select("id", "label", "txt")
-    rows = bags(texts, buckets).toArrow().sort_by("id")
+    # an id may stand at many rows: the bound holds for rows, those of lowest id hash and then of lowest hash of their bag
+    found = bags(texts, buckets).withColumn("t", F.xxhash64("bucket", "n")).orderBy(F.xxhash64("id"), "id", "t").limit(max_rows)
+    rows = found.toArrow().sort_by([("id", "ascending"), ("t", "ascending")])
     examples = [
         (np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4"), label)
         for b, n, label in zip(rows["bucket"], rows["n"], rows["label"].to_pylist(), strict=True)]

@@ -138,15 +138,19 @@ def open_store(root: str) -> tuple[files.FileSystem, str]:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, sample: int, sample_bytes: int) -> bytes:
     """A dictionary of at most 64 KiB from the sample; raw ids where there are too few to train on."""
     chosen = docs.filter(F.octet_length(text_col) <= sample_bytes).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).filter(F.octet_length("txt") <= sample_bytes).join(chosen, "id").select("txt")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).filter(F.octet_length("txt") <= sample_bytes).join(chosen, "id").select("id", "txt")
+    named = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
         kind = id_type(encode.size)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(ids, end_id).astype(kind).tobytes() for ids in encode(batch.column(0))], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([np.append(ids, end_id).astype(kind).tobytes() for ids in encode(batch.column(1))], pa.binary())], names=["id", "ids"])
 
-    samples = sorted(r["ids"] for r in texts.mapInArrow(run, "ids binary").toLocalIterator())
+    # an id may stand at many rows: the bound holds for rows
+    encoded = texts.mapInArrow(run, f"id {named}, ids binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids"), "ids").limit(sample)
+    samples = sorted(r["ids"] for r in encoded.select("ids").toLocalIterator())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(s) for s in samples]).as_bytes()
     except zstandard.ZstdError:

@@ -56,3 +56,13 @@ def test_odd_documents(spark):
     assert classifier.score_documents(no_documents(spark), model).count() == 0
     blank = classifier.fit(docs, labels.limit(0))
     assert {r.score for r in classifier.score_documents(docs, blank, keep=["doc_id"]).collect()} == {0.5}
+
+
+def test_the_bound_holds_for_rows_of_a_repeated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier.Subwords, "train", lambda self, examples: seen.append(len(examples)))
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    classifier.fit(docs, labels, max_rows=10, buckets=1 << 10)
+    classifier.fit(docs, labels, buckets=1 << 10)
+    assert seen == [10, 51]

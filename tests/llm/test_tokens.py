@@ -74,3 +74,12 @@ def test_added_tokens_are_matched_as_the_library_does(spark, name):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = {r.id: list(r.ids) for r in tokens.read_tokens(spark, written(spark, docs, path)).collect()}
     assert rows == {k: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
+def test_the_dictionary_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    real = tokens.zstandard.train_dictionary
+    monkeypatch.setattr(tokens.zstandard, "train_dictionary", lambda size, samples: seen.append(len(samples)) or real(size, samples))
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(40)], "doc_id bigint, text string").repartition(3)
+    tokens.train_dictionary(docs, PATH, 0, "doc_id", "text", 5, 1 << 16)
+    assert seen == [5]
