@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import bpe, classifier, decontaminate, line_dedup, lm, quality, secrets, sharding, simhash, tokens
+from siftlog.llm import bpe, classifier, conversations, decontaminate, line_dedup, lm, quality, secrets, sharding, simhash, tokens
 from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
 from siftlog.session import shared_dir
@@ -89,3 +89,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "quality.*")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged, copies = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.summarise(conversations.repair_conversations(damaged, copies=copies)).withColumnRenamed("conv", "conv_id")
