@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import bpe, classifier, conversations, decontaminate, line_dedup, lm, quality, secrets, sharding, simhash, tokens
+from siftlog.llm import bpe, classifier, conversations, decontaminate, line_dedup, lm, merkle, quality, secrets, sharding, simhash, tokens
 from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
 from siftlog.session import shared_dir
@@ -95,3 +95,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged, copies = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversations.summarise(conversations.repair_conversations(damaged, copies=copies)).withColumnRenamed("conv", "conv_id")
+
+
+@query("op12_merkle_manifest")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: merkle.leaf_digest([*map(F.col, names), text])
+    tampered = F.when(fold("doc_id", 2) == 0, leaf(F.translate("text", "\n", ""))).otherwise(leaf(F.col("text")))
+    leaves = documents(spark, sf_dir).select(
+        F.col("source").alias("tree"), F.col("doc_id").alias("key"), leaf(F.col("text")).alias("digest"), F.struct("doc_id", tampered.alias("tampered")).alias("payload"))
+    folded = merkle.fold_witness(F.col("payload.tampered"), F.col("witness"))
+    return merkle.build_manifest(leaves).withColumn("folded_root", folded).select(
+        "payload.doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root",
+        F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
