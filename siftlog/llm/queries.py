@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlog.llm import bpe, classifier, conversations, decontaminate, line_dedup, lm, merkle, quality, secrets, sharding, simhash, tokens
+from siftlog.llm import bpe, classifier, conversations, decontaminate, line_dedup, lm, merkle, mixing, quality, secrets, sharding, simhash, tokens
 from siftlog.llm.common import documents, fold
 from siftlog.llm.registry import query
 from siftlog.session import shared_dir
@@ -108,3 +108,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build_manifest(leaves).withColumn("folded_root", folded).select(
         "payload.doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root",
         F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_source_mixing")
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
