@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from siftlog import vocab
 from siftlog.operators import revisions as rv
 from siftlog.operators import search
-from siftlog.plans import domain
+from siftlog.operators.detect import Fingerprint
+from siftlog.operators.mapping import Mapping
+from siftlog.plans import bundles, domain
+from siftlog.plans.backfill import Bundle, run_backfill, stored_revisions
 from siftlog.plans.domain import NOW_NS
+from siftlog.plans.q_mapping import ACTION
 from siftlog.plans.registry import query
+from siftlog.session import shared_dir
 
 COLS = "receipt_id, revision_id, tenant_id, received_at_ns, source_profile_id, class_uid, action, src_ip, dst_ip, status, quality_score"
 OUT = [c.strip() for c in COLS.split(",")]
@@ -204,7 +211,7 @@ def overdue_work(spark, sf_dir):
 
 
 def _jobs(spark, sf_dir):
-    ev = domain.events(spark, sf_dir).filter("event_id % 10 = 1")
+    ev = domain.events(spark, sf_dir)
     e = F.col("event_id")
     return ev.select(
         F.concat(F.lit("job-"), e.cast("string")).alias("job_id"), domain.receipt_id(e).alias("receipt_id"),
@@ -214,7 +221,7 @@ def _jobs(spark, sf_dir):
 
 
 JOBS_SQL = """(SELECT 'job-' || event_id AS job_id, '00000000-0000-7000-8000-' || printf('%012x', event_id) AS receipt_id,
- list_value('QUEUED', 'QUEUED', 'COMPLETE')[1 + event_id % 3] AS status, event_id FROM events WHERE event_id % 10 = 1)"""
+ list_value('QUEUED', 'QUEUED', 'COMPLETE')[1 + event_id % 3] AS status, event_id FROM events)"""
 
 
 @query("backfill_candidates", f"SELECT j.job_id, j.receipt_id, r.raw_sha256 FROM {JOBS_SQL} j JOIN receipts r ON r.receipt_id = j.receipt_id WHERE j.status = 'QUEUED' AND r.raw_available")
@@ -251,6 +258,59 @@ def backfill_identity_check(spark, sf_dir):
     return rv.backfill_mismatches(results, jobs, rec)
 
 
+KV_BUNDLE, CEF_BUNDLE = (hashlib.sha256(name.encode()).hexdigest() for name in ("bundle-kv", "bundle-cef"))
+
+
+def installed_bundles():
+    """Two bundles: one reads key=value text and knows one vendor word more, the other reads CEF as usual."""
+    more = bundles.TAXONOMIES | {"network-action": bundles.TAXONOMIES["network-action"] | {"vendor-magic": "allow"}}
+    kv, cef = bundles.MAPPINGS["kv"], bundles.MAPPINGS["cef"]
+    return [
+        Bundle(KV_BUNDLE, (Fingerprint("bundle-kv", "kv", ("time=", "synthetic=true", "sport="), 950, 200, bundle_sha256=KV_BUNDLE),),
+               {"kv": Mapping("vendor-kv", "2.0.0", kv.rules, more)}),
+        Bundle(CEF_BUNDLE, (Fingerprint("bundle-cef", "cef", ("CEF:0|",), 950, 200, bundle_sha256=CEF_BUNDLE),), {"cef": cef}),
+    ]
+
+
+def backfill_inputs(spark, sf_dir):
+    """A job for every event, and receipts with raw bytes of which some are gone or altered."""
+    rec = domain.receipts(spark, sf_dir, with_raw=True)
+    e = F.col("event_id")
+    receipts = rec.withColumn("raw", F.when(e % 17 != 2, F.when(e % 23 == 4, F.concat("raw", F.lit(b"x"))).otherwise(F.col("raw")))).drop("event_id")
+    jobs = domain.events(spark, sf_dir).select(
+        F.concat(F.lit("job-"), e.cast("string")).alias("job_id"), F.when(e % 13 == 5, "no-such-receipt").otherwise(domain.receipt_id(e)).alias("receipt_id"),
+        F.lit("2.0.0").alias("pipeline_version"), domain.pick([KV_BUNDLE, CEF_BUNDLE, hashlib.sha256(b"unknown").hexdigest()], e % 3).alias("bundle_sha256"),
+        domain.pick(["QUEUED", "QUEUED", "COMPLETE", "QUEUED"], e % 4).alias("status"), F.lit(None).cast("string").alias("last_error_code"))
+    return jobs, receipts
+
+
+_VENDOR = "CASE WHEN f_action = 'vendor-magic' THEN 'allow' ELSE " + ACTION + " END"
+
+
+@query(
+    "backfill_run",
+    f"""SELECT 'job-' || event_id AS job_id, CASE WHEN event_id % 4 = 2 THEN 'COMPLETE' WHEN code IS NULL THEN 'COMPLETE' ELSE 'FAILED' END AS status,
+ CASE WHEN event_id % 4 <> 2 THEN code END AS last_error_code, CASE WHEN event_id % 4 <> 2 AND code IS NULL THEN fresh END AS revision_status,
+ CASE WHEN event_id % 4 <> 2 AND code IS NULL THEN act END AS action, CAST(event_id % 4 <> 2 AND code IS NULL AS INT) AS revisions FROM
+ (SELECT event_id, CASE WHEN event_id % 13 = 5 THEN 'RECEIPT_UNAVAILABLE' WHEN event_id % 3 = 2 THEN 'BUNDLE_UNAVAILABLE' WHEN event_id % 11 = 0 OR event_id % 17 = 2 THEN 'EVIDENCE_UNAVAILABLE'
+  WHEN event_id % 23 = 4 THEN 'EVIDENCE_INTEGRITY' WHEN fmt <> CASE event_id % 3 WHEN 0 THEN 'kv' ELSE 'cef' END THEN 'BUNDLE_MISMATCH' END AS code,
+  CASE WHEN f_dpt = '99999' OR (event_id % 3 = 1 AND f_action = 'vendor-magic') THEN 'PARTIALLY_PARSED' ELSE 'PARSED' END AS fresh,
+  CASE WHEN event_id % 3 = 0 THEN {_VENDOR} ELSE {ACTION} END AS act FROM pl)""",
+)
+def backfill_run(spark, sf_dir):
+    """Every queued job runs with its bundle; a second run finds nothing left to do."""
+    root, now = shared_dir(spark, "backfill"), F.timestamp_micros(F.lit(domain.NOW_US))
+    jobs, receipts = backfill_inputs(spark, sf_dir)
+    for run in ("first", "second"):
+        settled = run_backfill(root, run, jobs, receipts, installed_bundles(), now)
+    new = stored_revisions(spark, root)
+    action = F.get_json_object("envelope_json", "$.event.action")
+    per_job = new.groupBy(F.col("revision_id").alias("completed_revision_id")).agg(
+        F.first("status").alias("revision_status"), F.first(action).alias("action"), F.count(F.lit(1)).cast("int").alias("revisions"))
+    return settled.join(per_job, "completed_revision_id", "left").select(
+        "job_id", "status", "last_error_code", "revision_status", "action", F.coalesce("revisions", F.lit(0)).alias("revisions"))
+
+
 @query(
     "active_bundles",
     """SELECT source_profile_id, sha256('bundle-' || max(event_id) % 3) AS bundle_sha256, max(event_id) AS activated_revision FROM
