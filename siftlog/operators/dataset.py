@@ -5,14 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from siftlog import vocab
 from siftlog.functions.hashing import split_bucket
 from siftlog.functions.ip import canonical_ip
 from siftlog.functions.text import json_escape_html, parse_rfc3339, rfc3339
+from siftlog.sources import commits
+from siftlog.sources.commits import stored
+
+HASH_BYTES = 32
+#: Text bytes of a dataset file, and of a row beside its features.
+FILE_BYTES, ROW_BYTES = 256 << 20, 400
 
 FEATURE_NAME = r"^[a-z][a-z0-9_]{0,63}$"
 FEATURE_PATH = r"^[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+$"
@@ -169,25 +176,55 @@ def duplicate_revisions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("revision_id").count().filter("count > 1")
 
 
-def revision_digest(rows: DataFrame, prefix: int = 3) -> DataFrame:
-    """Order-independent digest of a revision set in two levels.
+def _children(nodes: DataFrame, level: int) -> DataFrame:
+    """One node per prefix of `level` bytes: the digest of its children by their next byte; an only child stands for its parent."""
+    below = F.array_sort(F.collect_list(F.struct(F.substring("prefix", 2 * level + 1, 2).alias("byte"), "digest", "depth", "ids")))
+    text = F.array_join(F.transform("c", lambda x: F.concat(x["byte"], F.lit("="), x["digest"], F.lit("\n"))), "")
+    many, deepest = F.size("c") > 1, F.array_max(F.transform("c", lambda x: x["depth"]))
+    return nodes.groupBy(F.substring("prefix", 1, 2 * level).alias("prefix")).agg(below.alias("c")).select(
+        "prefix", F.when(many, F.sha2(text, 256)).otherwise(F.get("c", F.lit(0))["digest"]).alias("digest"),
+        F.when(many, F.greatest(deepest, F.lit(level + 1))).otherwise(deepest).alias("depth"),
+        F.aggregate("c", F.lit(0).cast("bigint"), lambda n, x: n + x["ids"]).alias("ids"))
 
-    Ids are hashed into 16^prefix buckets by their own digest, so no bucket can
-    be hot; each bucket digests its sorted ids (id + NUL), and the set digest is
-    the digest of the bucket digests in bucket order.
-    """
-    keyed = rows.select("revision_id", F.substring(F.sha2("revision_id", 256), 1, prefix).alias("bucket"))
-    ids = F.array_sort(F.collect_list("revision_id"))
-    buckets = keyed.groupBy("bucket").agg(
-        F.sha2(F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit("\u0000"))), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-    # 16^prefix rows at most are left for the last step.
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "digest")))
-    text = F.array_join(F.transform(ordered, lambda b: F.concat(b["bucket"], F.lit("="), b["digest"], F.lit("\n"))), "")
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("revisions"), F.sha2(text, 256).alias("revision_digest"))
 
+def revision_digest(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """(revisions, depth, revision_digest) of a set of revision ids, whatever their order and number.
 
-def dataset_identity(tenant: str, features: FeatureSet, selection: dict, revisions: int, digest: str, split: Split) -> str:
-    """Stable id of the selected inputs; where the files lie is not part of it."""
+    The ids form a tree by the bytes of their own SHA-256: a leaf's digest is that
+    hash, a node's that of its children, at most 256, and a node with one child
+    stands for it. The tree follows from the set alone, so 1,000 and 10^11 ids are
+    digested by one rule, no list grows with the data, and `width`, the level at
+    which the work begins, does not change the result. Ids that still share
+    `width` bytes, few of them, are told apart level by level.
+
+    An id that occurs twice makes the digest null; an empty set has that of the
+    empty text and depth 0.
+    """
+    # A narrow cut: hashes and counts, written once.
+    ids = stored(rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias("n")).select(F.sha2("revision_id", 256).alias("prefix"), "n"), "revision-ids")
+    total, twice = ids.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0)) > 1).first()
+    spark = rows.sparkSession
+    if not total or twice:
+        return spark.range(1).select(
+            F.lit(total).cast("bigint").alias("revisions"), F.lit(0).alias("depth"), F.when(F.lit(not twice), F.sha2(F.lit("").cast("binary"), 256)).alias("revision_digest"))
+    level = width or min(HASH_BYTES, max(1, -(-(total - 1).bit_length() // 8) + 1))
+    rest = ids.select("prefix", F.col("prefix").alias("digest"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("ids"))
+    alone: dict[int, DataFrame] = {}
+    while True:
+        counted = stored(rest.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(F.substring("prefix", 1, 2 * level)))), "id-prefixes")
+        alone[level] = counted.filter("same = 1").drop("same")
+        rest = counted.filter("same > 1").drop("same")
+        if level == HASH_BYTES or rest.isEmpty():
+            break
+        level += 1
+    nodes = alone[level]
+    for k in range(level - 1, -1, -1):
+        nodes = _children(nodes, k)
+        nodes = nodes.unionByName(alone[k]) if k in alone else nodes
+    return nodes.select(F.col("ids").alias("revisions"), "depth", F.col("digest").alias("revision_digest"))
+
+
+def identity_text(tenant: str, features: FeatureSet, selection: dict, revisions: object, digest: str, split: Split) -> str:
     body = {
         "contract_version": vocab.DATASET_CONTRACT, "tenant_id": tenant, "envelope_schema_version": vocab.SCHEMA_VERSION,
         "feature_set": {"id": features.id, "version": features.version, "sha256": features.digest()}, "selection": selection,
@@ -196,33 +233,95 @@ def dataset_identity(tenant: str, features: FeatureSet, selection: dict, revisio
                   "validation_basis_points": split.validation, "test_basis_points": split.test},
         "lineage_fields": vocab.LINEAGE_FIELDS,
     }
-    return hashlib.sha256(json.dumps(body, separators=(",", ":")).encode()).hexdigest()
+    return json.dumps(body, separators=(",", ":"))
+
+
+def dataset_identity(tenant: str, features: FeatureSet, selection: dict, revisions: int, digest: str, split: Split) -> str:
+    """Stable id of the selected inputs; where the files lie is not part of it."""
+    return hashlib.sha256(identity_text(tenant, features, selection, revisions, digest, split).encode()).hexdigest()
+
 
+def sorted_dataset(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Global revision order in files of about `file_bytes` of text: ranges over the files, sorted inside each."""
+    size = rows.agg(F.sum(F.octet_length("features_json") + ROW_BYTES)).first()[0] or 0
+    return rows.repartitionByRange(max(1, -(-size // file_bytes)), "revision_id").sortWithinPartitions("revision_id")
 
-def sorted_dataset(rows: DataFrame, files: int | None = None) -> DataFrame:
-    """Global revision order: ranges over the files, sorted inside each."""
-    ranged = rows.repartitionByRange(files, "revision_id") if files else rows.repartitionByRange("revision_id")
-    return ranged.sortWithinPartitions("revision_id")
 
+def rows_fingerprint(rows: DataFrame) -> Row:
+    """(rows, sum and xor of row hashes): equal for equal multisets of rows, whatever their order and files."""
+    one, two = F.xxhash64(*rows.columns), F.xxhash64(F.lit("second"), *rows.columns)
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(one.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hash"),
+        F.coalesce(F.bit_xor(two), F.lit(0)).cast("string").alias("xor_hash")).first()
 
-def publish(rows: DataFrame, root: str, tenant: str, dataset_id: str, files: int | None = None) -> DataFrame:
-    """Write an immutable dataset and return its verified rows.
 
-    An existing dataset of the same id is compared and must hold the same rows.
+MANIFEST = "dataset_id string, tenant_id string, revision_sha256 string, digest_depth int, sum_hash string, xor_hash string, total_rows bigint, file string, rows bigint, size_bytes bigint, sha256 string"
+
+
+def _describe(spark: SparkSession, base: str, folder: str) -> DataFrame:
+    """(file, rows, size_bytes, sha256) of the files of a folder, read back as bytes and as rows."""
+    name = F.concat(F.lit(f"{folder}/"), F.element_at(F.split(F.col("path"), "/"), -1)).alias("file")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{base}/{folder}")
+    digests = raw.select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    counts = spark.read.parquet(f"{base}/{folder}").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    return digests.join(counts.select(name, "rows"), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
+
+
+def manifest_of(spark: SparkSession, root: str, tenant: str, dataset_id: str) -> DataFrame | None:
+    """The manifest rows, one per file; None if the dataset is not published."""
+    path = f"{root}/tenant={tenant}/dataset={dataset_id}/manifest"
+    return spark.read.schema(MANIFEST).json(path) if commits.exists(spark, f"{path}/{commits.MARKER}") else None
+
+
+def publish(rows: DataFrame, root: str, tenant: str, dataset_id: str, digest: Row, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write an immutable dataset and return its manifest.
+
+    The files go below a folder of their own and are read back for their digests
+    and rows; the manifest is written last and is the commit: readers see the files
+    it names and no others. What a run without a manifest left is removed. A
+    published id must hold the same rows, in files of the recorded bytes; else it is an error.
+    `digest` is the row of `revision_digest`.
     """
     spark = rows.sparkSession
-    path = f"{root}/tenant={tenant}/dataset={dataset_id}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
-        sorted_dataset(rows, files).write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
-    stored = spark.read.parquet(path)
-    columns = rows.columns
-    differ = rows.exceptAll(stored.select(*columns)).limit(1).unionAll(stored.select(*columns).exceptAll(rows).limit(1))
-    if differ.take(1):
+    base = f"{root}/tenant={tenant}/dataset={dataset_id}"
+    print_ = rows_fingerprint(rows)
+    known = manifest_of(spark, root, tenant, dataset_id)
+    if known is None:
+        for left in commits.folders(spark, base):
+            commits.remove(spark, f"{base}/{left}")
+        folder = f"run={uuid.uuid4().hex}"
+        sorted_dataset(rows, file_bytes).write.mode("errorifexists").parquet(f"{base}/{folder}")
+        back = rows_fingerprint(spark.read.schema(rows.schema).parquet(f"{base}/{folder}"))
+        if back != print_:
+            raise ValueError("the files do not hold the rows that were to be published")
+        fixed = {"dataset_id": dataset_id, "tenant_id": tenant, "revision_sha256": digest["revision_digest"], "digest_depth": digest["depth"],
+                 "sum_hash": print_["sum_hash"], "xor_hash": print_["xor_hash"], "total_rows": print_["rows"]}
+        lines = _describe(spark, base, folder).select(*[F.lit(v).alias(k) for k, v in fixed.items()], "file", "rows", "size_bytes", "sha256")
+        # One line a file: small even for a large dataset.
+        lines.coalesce(1).sortWithinPartitions("file").write.mode("errorifexists").json(f"{base}/manifest")
+        return manifest_of(spark, root, tenant, dataset_id)
+    verify_published(spark, root, tenant, dataset_id)
+    row = known.first()
+    if (row["total_rows"], row["sum_hash"], row["xor_hash"]) != (print_["rows"], print_["sum_hash"], print_["xor_hash"]):
         raise ValueError("dataset id exists with different rows")
-    return stored
+    return known
+
+
+def verify_published(spark: SparkSession, root: str, tenant: str, dataset_id: str) -> None:
+    """Files of a published dataset that are gone or have other bytes than recorded are an error."""
+    base, known = f"{root}/tenant={tenant}/dataset={dataset_id}", manifest_of(spark, root, tenant, dataset_id)
+    folders = [r[0] for r in known.select(F.substring_index("file", "/", 1)).distinct().collect()]  # one run wrote them all
+    held = _describe(spark, base, folders[0]).select("file", F.col("sha256").alias("held"))
+    if not known.join(held, "file", "left").filter(~F.col("sha256").eqNullSafe(F.col("held"))).isEmpty():
+        raise ValueError("dataset files differ from their manifest")
+
+
+def read_dataset(spark: SparkSession, root: str, tenant: str, dataset_id: str) -> DataFrame:
+    """The rows of a published dataset: the files that its manifest names."""
+    known = manifest_of(spark, root, tenant, dataset_id)
+    if known is None:
+        raise ValueError("the dataset is not published")
+    return spark.read.parquet(*[f"{root}/tenant={tenant}/dataset={dataset_id}/{r[0]}" for r in known.select("file").collect()])
 
 
 def split_balance(rows: DataFrame, split: Split) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftlog.functions.ordered import running_totals
+from siftlog.sources.commits import stored
+
 
 def expand_weights(weights: list[tuple[object, int]]) -> list[object]:
     """Each choice repeated by its weight (bounded configuration)."""
@@ -40,20 +43,21 @@ def composition(rows: DataFrame, columns: list[str], size: str) -> DataFrame:
     return names.groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("rows"), F.min("_s").alias("min_bytes"), F.max("_s").alias("max_bytes"))
 
 
-def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Samples, min, nearest-rank p50 / p95 / p99 and max per group.
+def latency_summary(rows: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Samples, min, exact nearest-rank percentiles and max per group, by distributed rank selection.
 
-    Exact percentiles count distinct values, so samples are pre-counted per
-    value; a group with many equal values stays small.
+    Equal values of a group are counted first. The counts are dealt into ranges of
+    (group, value), so a group with most of the rows spreads over tasks; running
+    counts inside a range and the counts of the ranges before it give each value
+    the ranks it covers, and the value that covers a wanted rank is the percentile.
+    Null values are no samples, and rows of a null group belong to none.
     """
-    counted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-
-    def rank(p: float) -> Column:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast(rows.schema[value].dataType)
-
-    plain = rows.groupBy(by).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
-    ends = counted.groupBy(by).agg(F.sum("_n").alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return ends.join(plain, by)
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = stored(counted.repartitionByRange(by, value).withColumn("_range", F.spark_partition_id()), "value-counts")
+    ranks = running_totals(ranged, [by], [F.col(value)], F.col("_range"), {"_upto": F.col("_n")}, "_nth").drop("_nth")
+    ends = ranged.groupBy(by).agg(F.sum("_n").alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"))
+    covers = [F.min(F.when(F.col("_upto") * 100 >= F.col("samples") * p, F.col(value))).alias(f"p{p}") for p in percents]
+    return ends.join(ranks.join(ends.select(by, "samples"), by).groupBy(by).agg(*covers), by)
 
 
 def throughput(rows: DataFrame, by: str, start_ns: str, end_ns: str, size: str) -> DataFrame:

@@ -61,29 +61,57 @@ query(
     f"""SELECT split, count(*) AS rows, CASE split WHEN 'train' THEN 8000 ELSE 1000 END AS expected_bp, CAST(round(count(*) * 10000.0 / sum(count(*)) OVER ()) AS BIGINT) AS actual_bp
  FROM (SELECT {_SPLIT} AS split FROM {_SEL}) GROUP BY 1""",
 )(lambda s, d: ds.split_balance(ds.dataset_rows(selected(s, d), FEATURES, SPLIT), SPLIT))
-query(
-    "dataset_revision_digest",
-    """SELECT CAST(sum(n) AS BIGINT) AS revisions, sha256(string_agg(b || '=' || dg || chr(10), '' ORDER BY b)) AS revision_digest FROM
- (SELECT substr(sha256(revision_id), 1, 3) AS b, sha256(string_agg(revision_id || chr(0), '' ORDER BY revision_id)) AS dg, count(*) AS n FROM revisions GROUP BY 1)""",
-)(lambda s, d: ds.revision_digest(domain.revisions(s, d)))
+
+
+def digest_sql(table: str, levels: int = 8) -> str:
+    """The tree digest of the ids of `table`, level by level from `levels` bytes of their hash (which must tell all ids apart)."""
+    steps = [f"n{levels} AS (SELECT substr(sha256(revision_id), 1, {2 * levels}) AS p, sha256(revision_id) AS dg, 0 AS depth, 1 AS ids FROM {table})"]
+    for k in range(levels - 1, -1, -1):
+        steps.append(
+            f"n{k} AS (SELECT substr(p, 1, {2 * k}) AS p, CASE WHEN count(*) = 1 THEN min(dg) ELSE sha256(string_agg(substr(p, {2 * k + 1}, 2) || '=' || dg || chr(10), '' ORDER BY p)) END AS dg,"
+            f" CASE WHEN count(*) = 1 THEN max(depth) ELSE greatest(max(depth), {k + 1}) END AS depth, CAST(sum(ids) AS BIGINT) AS ids FROM n{k + 1} GROUP BY 1)")
+    return ", ".join(steps)
+
+
+query("dataset_revision_digest", f"SELECT ids AS revisions, depth, dg AS revision_digest FROM (WITH {digest_sql('revisions')} SELECT * FROM n0)")(
+    lambda s, d: ds.revision_digest(domain.revisions(s, d)))
 query("dataset_duplicate_revisions", "SELECT revision_id, count(*) AS count FROM (SELECT revision_id FROM revisions UNION ALL SELECT revision_id FROM revisions WHERE k = 2) GROUP BY 1 HAVING count(*) > 1")(
     lambda s, d: ds.duplicate_revisions(domain.revisions(s, d).select("revision_id").unionByName(domain.revisions(s, d).filter("k = 2").select("revision_id"))))
 
 
-@query("dataset_publish", f"SELECT count(*) AS rows, min(revision_id) AS first_id, max(revision_id) AS last_id, 0 AS unsorted_files FROM {_SEL}")
+SELECTION = {"received_from": FROM_NS, "received_to": TO_NS, "statuses": STATUSES}
+_MARK = 9_876_543_210
+_ID_PARTS = [p.replace("'", "''") for p in ds.identity_text("t1", FEATURES, SELECTION, _MARK, str(_MARK), SPLIT).split(str(_MARK))]
+_ID = f"sha256('{_ID_PARTS[0]}' || ids || '{_ID_PARTS[1]}' || dg || '{_ID_PARTS[2]}')"
+
+
+@query(
+    "dataset_publish",
+    f"""SELECT {_ID} AS dataset_id, ids AS rows, depth, dg AS revision_sha256, first_id, last_id, true AS files_match, 0 AS out_of_order
+ FROM (WITH sel AS (SELECT revision_id FROM {_SEL}), {digest_sql('sel')} SELECT n0.*, (SELECT min(revision_id) FROM sel) AS first_id, (SELECT max(revision_id) FROM sel) AS last_id FROM n0)""",
+)
 def dataset_publish(spark, sf_dir):
-    """Publish twice (the second time is a no-op), then check the sort order in each file."""
+    """Publish over what a dead run left, publish again (a check only), and hold the files against the manifest."""
     rows = ds.dataset_rows(selected(spark, sf_dir), FEATURES, SPLIT)
     root = shared_dir(spark, "dataset")
     digest = ds.revision_digest(rows).first()
-    did = ds.dataset_identity("t1", FEATURES, {"received_from": FROM_NS, "received_to": TO_NS, "statuses": STATUSES}, digest["revisions"], digest["revision_digest"], SPLIT)
-    ds.publish(rows, root, "t1", did)
-    stored = ds.publish(rows, root, "t1", did).withColumn("file", F.input_file_name())
-    per_file = stored.groupBy("file").agg(F.min("revision_id").alias("lo"), F.max("revision_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # Files hold disjoint ranges of a global order: no file begins before the one ahead of it ends.
+    did = ds.dataset_identity("t1", FEATURES, SELECTION, digest["revisions"], digest["revision_digest"], SPLIT)
+    rows.write.parquet(f"{root}/tenant=t1/dataset={did}/run=dead")
+    for _ in range(2):
+        manifest = ds.publish(rows, root, "t1", did, digest, file_bytes=1 << 20)
+    back = ds.read_dataset(spark, root, "t1", did)
+    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    inside = back.select("revision_id", file, at).withColumn("before", F.lag("revision_id").over(Window.partitionBy("file").orderBy("at")))
+    per_file = inside.groupBy("file").agg(
+        F.min("revision_id").alias("lo"), F.max("revision_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") >= F.col("revision_id")).alias("bad"))
+    # One row a file, as many as the manifest has: no file begins before the one ahead of it ends.
     ahead = F.lag("hi").over(Window.partitionBy(F.lit(1)).orderBy("lo"))
-    bad = per_file.withColumn("p", ahead).agg(F.count_if(F.col("p") >= F.col("lo")).cast("int")).first()[0]
-    return per_file.agg(F.sum("n").alias("rows"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), F.lit(bad).alias("unsorted_files"))
+    found = per_file.withColumn("ahead", ahead).agg(
+        F.sum("n").alias("rows"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), (F.sum("bad") + F.count_if(F.col("ahead") >= F.col("lo"))).cast("int").alias("out_of_order"), F.count(F.lit(1)).alias("files"))
+    held = manifest.groupBy("dataset_id", "digest_depth", "revision_sha256", "total_rows").agg(F.sum("rows").alias("listed"), F.count_if(F.col("rows") > 0).alias("named"))
+    match = (F.col("listed") == F.col("rows")) & (F.col("total_rows") == F.col("rows")) & (F.col("named") == F.col("files"))
+    return held.join(found).select(
+        "dataset_id", "rows", F.col("digest_depth").alias("depth"), "revision_sha256", "first_id", "last_id", match.alias("files_match"), "out_of_order")
 
 
 @query(
