@@ -30,21 +30,35 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place, files = _hadoop(spark, path)
-    return files.exists(place)
+    place, system = _hadoop(spark, path)
+    return system.exists(place)
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder, sorted; none if it is absent."""
-    place, files = _hadoop(spark, path)
-    if not files.exists(place):
+    place, system = _hadoop(spark, path)
+    if not system.exists(place):
         return []
-    return sorted(s.getPath().getName() for s in files.listStatus(place) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory())
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files in a folder, sorted."""
+    place, system = _hadoop(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isFile() and s.getPath().getName()[0] not in "._")
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    place, files = _hadoop(spark, path)
-    files.delete(place, True)
+    place, system = _hadoop(spark, path)
+    system.delete(place, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a marker."""
+    place, system = _hadoop(spark, path)
+    system.create(place, True).close()
 
 
 def is_committed(spark: SparkSession, table: str, run: str) -> bool:
