@@ -66,8 +66,8 @@ def throughput_ratios(spark, sf_dir):
     "run_accounting",
     """SELECT 'raw_verified' AS metric, count(*) FILTER (i.sha256 = r.raw_sha256) AS value FROM receipts r LEFT JOIN inventory i ON i.ref = r.raw_ref
  UNION ALL SELECT 'hash_mismatches', count(*) FILTER (coalesce(i.sha256 <> r.raw_sha256, true)) FROM receipts r LEFT JOIN inventory i ON i.ref = r.raw_ref
- UNION ALL SELECT 'linkage_failures', count(*) FROM receipts r WHERE NOT EXISTS (SELECT 1 FROM revisions v WHERE v.receipt_id = r.receipt_id AND v.k > 0)
- UNION ALL SELECT 'status_' || status, count(*) FROM revisions WHERE k > 0 GROUP BY status""",
+ UNION ALL SELECT 'linkage_failures', count(*) FROM receipts r WHERE NOT EXISTS (SELECT 1 FROM revisions v WHERE v.receipt_id = r.receipt_id)
+ UNION ALL SELECT 'status_' || status, count(*) FROM revisions GROUP BY status""",
 )
 def run_accounting(spark, sf_dir):
-    return ms.accounting(domain.receipts(spark, sf_dir), domain.inventory(spark, sf_dir), domain.revisions(spark, sf_dir).filter("k > 0"))
+    return ms.accounting(domain.receipts(spark, sf_dir), domain.inventory(spark, sf_dir), domain.revisions(spark, sf_dir))

@@ -102,7 +102,7 @@ def parse_named_captures(spark, sf_dir):
 def parse_unmatched_text(spark, sf_dir):
     """Prose handed to the key=value parser: everything is kept as unmatched bytes."""
     docs = domain.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = parse_kv(spread(docs), "text", "parsed").filter("parsed.status = 'INVALID' AND parsed.unmatched IS NOT NULL")
+    out = parse_kv(spread(docs), "text", "parsed")
     return out.select("doc_id", "parsed.status", F.get("parsed.issues", F.lit(0))["code"].alias("code"), F.octet_length("parsed.unmatched").cast("bigint").alias("unmatched_bytes"))
 
 

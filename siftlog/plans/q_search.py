@@ -109,10 +109,10 @@ def duplicate_event_check(spark, sf_dir):
 @query(
     "receipt_trace",
     """SELECT r.receipt_id, r.tenant_id, r.state, r.raw_sha256, v.revision_id, v.pipeline_version, v.parser_id, v.status AS revision_status, v.created_at_ns
- FROM receipts r LEFT JOIN revisions v ON v.receipt_id = r.receipt_id AND v.k > 0""",
+ FROM receipts r LEFT JOIN revisions v ON v.receipt_id = r.receipt_id""",
 )
 def receipt_trace(spark, sf_dir):
-    later = domain.revisions(spark, sf_dir).filter("k > 0")
+    later = domain.revisions(spark, sf_dir)
     rows = search.receipt_trace(domain.receipts(spark, sf_dir), later)
     return rows.select("receipt_id", "tenant_id", "state", "raw_sha256", "revision_id", "pipeline_version", "parser_id", "revision_status", "created_at_ns")
 

@@ -53,12 +53,12 @@ def deframe_delimited(spark, sf_dir):
 
 @query(
     "deframe_octet_counted",
-    """SELECT conv_id, turn, 2 AS frames, CAST(strlen(text) + strlen(role) AS BIGINT) AS bytes, CASE WHEN conv_id % 3 = 0 THEN 'INVALID_OCTET_COUNT' WHEN conv_id % 3 = 1 THEN 'FRAME_INCOMPLETE' END AS error
- FROM conversations WHERE strlen(text) > 0""",
+    """SELECT conv_id, turn, CASE WHEN l = 0 THEN 0 ELSE 2 END AS frames, CASE WHEN l > 0 THEN CAST(l + strlen(role) AS BIGINT) END AS bytes,
+ CASE WHEN l = 0 OR conv_id % 3 = 0 THEN 'INVALID_OCTET_COUNT' WHEN conv_id % 3 = 1 THEN 'FRAME_INCOMPLETE' END AS error FROM (SELECT *, strlen(coalesce(text, '')) AS l FROM conversations)""",
 )
 def deframe_octet_counted(spark, sf_dir):
-    """Two framed messages per capture, then a bad count or a cut-off frame."""
-    c = domain.table(spark, sf_dir, "conversations").filter(F.octet_length("text") > 0)
+    """Two framed messages per capture, then a bad count or a cut-off frame; an empty message has a count of 0, which is no count."""
+    c = domain.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     n = lambda col: F.octet_length(col).cast("string")
     tail = domain.pick(["x9 abc", "99 short", ""], F.col("conv_id") % 3)
     data = F.concat(n("text"), F.lit(" "), "text", n("role"), F.lit(" "), "role", tail).cast("binary")
