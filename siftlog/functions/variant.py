@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LEVELS = 64
+from siftlog.functions.text import count_char
 
 
 def key_path(segment: str) -> str:
@@ -121,20 +121,31 @@ def _expand(entry: Column) -> Column:
 
 
 def flatten_document(document: Column, root: str = "fields") -> Column:
-    """ARRAY<STRUCT(p, v, leaf)> of every leaf with its path, inside the row.
+    """ARRAY<STRUCT(p, v, leaf)> of every leaf with its path, inside the row, at any depth.
 
     Levels are expanded by an array fold, so there is no explode, no shuffle and
-    no Python. Most documents are done after a few levels; only deeper ones run
-    the rest.
+    no Python. Most documents are done after a few levels. Others go on for as many
+    levels as their text has opening brackets, which no nesting can exceed; once all
+    entries are leaves a level costs nothing.
     """
     start = F.array(F.struct(F.lit(root).alias("p"), document.alias("v"), F.lit(False).alias("leaf")))
 
+    def expanded(entries: Column) -> Column:
+        return F.flatten(F.transform(entries, _expand))
+
+    def done(entries: Column) -> Column:
+        return F.forall(entries, lambda e: e["leaf"])
+
     def level(entries: Column, _i: Column) -> Column:
-        return F.when(F.forall(entries, lambda e: e["leaf"]), entries).otherwise(F.flatten(F.transform(entries, _expand)))
+        return F.when(done(entries), entries).otherwise(expanded(entries))
+
+    def deeper(state: Column, _i: Column) -> Column:
+        return F.when(state["done"], state).otherwise(F.struct(done(state["entries"]).alias("done"), expanded(state["entries"]).alias("entries")))
 
     early = F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, level)
-    late = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LEVELS - 3)), early, level)
-    return F.filter(F.when(F.forall(early, lambda e: e["leaf"]), early).otherwise(late), lambda e: e["leaf"])
+    # A leaf expands to itself, so the step that finds all of them done changes nothing.
+    late = F.aggregate(F.sequence(F.lit(0), count_char(F.to_json(document), "{[")), F.struct(F.lit(False).alias("done"), early.alias("entries")), deeper)["entries"]
+    return F.filter(F.when(done(early), early).otherwise(late), lambda e: e["leaf"])
 
 
 def document_rows(df: DataFrame, keys: list[str], document: str) -> DataFrame:

@@ -11,6 +11,7 @@ from siftlog.operators.parse import parse_captures
 from siftlog.plans import bundles, domain
 from siftlog.plans.q_parse import parsed_as
 from siftlog.plans.registry import query
+from siftlog.session import ensure_utc, shared_dir
 
 
 def _run(spark, sf_dir):
@@ -38,12 +39,22 @@ def regress_fixture_events(spark, sf_dir):
     return regress.fixture_failures(_run(spark, sf_dir), ev.select(F.col("event_id").cast("string").alias("fixture"), text.alias("event_json")))
 
 
-@query("regress_determinism", "SELECT event_id AS fixture, 1 AS run FROM events WHERE false")
+@query("regress_determinism", "SELECT event_id AS fixture FROM events WHERE event_id % 71 = 6")
 def regress_determinism(spark, sf_dir):
-    def once():
-        return _run(spark, sf_dir).select(F.col("fixture").cast("bigint").alias("fixture"), F.to_json("mapped").alias("m"))
-
-    return regress.nondeterministic_rows(once(), once()).select("fixture", "run")
+    """Mapped events of two different physical plans (other partitions, other batches); rows that one of them alters must be found."""
+    own = ensure_utc(spark.newSession())
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    own.conf.set("spark.sql.codegen.wholeStage", "false")
+
+    def stored_run(session, altered):
+        rows = _run(session, sf_dir).select(F.col("fixture").cast("bigint").alias("fixture"), F.to_json("mapped").alias("m"))
+        if altered:
+            rows = rows.withColumn("m", F.when(F.col("fixture") % 71 == 6, F.concat("m", F.lit(" "))).otherwise(F.col("m")))
+        path = shared_dir(spark, "regress")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return regress.unstable_keys(stored_run(spark, False), stored_run(own, True).repartition(3), ["fixture"])
 
 
 @query("regress_wrongly_selected", "SELECT doc_id AS fixture FROM documents WHERE false")
