@@ -8,7 +8,7 @@ from siftlog.functions.ip import ip_key
 from siftlog.plans import domain
 from siftlog.plans.registry import query
 from siftlog.session import shared_dir
-from siftlog.sources import evidence, sinks
+from siftlog.sources import configs, evidence, sinks
 
 
 @query("scan_evidence_files", "SELECT count(*) AS files, true AS digests_match FROM (SELECT 1 FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')))")
@@ -127,3 +127,51 @@ def sink_ndjson(spark, sf_dir):
     path = shared_dir(spark, "ndjson")
     sinks.write_envelopes_ndjson(_flat(spark, sf_dir), path)
     return spark.read.schema("id string").option("mode", "FAILFAST").json(path)
+
+
+VERSIONS = {"mapping": "mapping/1", "taxonomies": "taxonomies/1", "parser": "parser/1", "fingerprints": "fingerprints/1"}
+
+
+def config_files(spark, sf_dir):
+    """A bundle file for every customer; one in two has a fault of its own."""
+    k = F.col("c_custkey")
+    c = k % 16
+    kind = F.when(c.isin(4, 5, 11), "taxonomies").when(c.isin(6, 7, 12), "fingerprints").when(c == 8, "parser").otherwise("mapping")
+
+    def when(number, text):
+        return F.when(c == number, text).otherwise("")
+
+    body = (
+        F.when(kind == "mapping", F.concat(
+            F.lit('{"config_version":"'), F.when(c == 3, "mapping/2").otherwise("mapping/1"), F.lit('","id":"m'), k.cast("string"), F.lit('","version":"1.0.0"'),
+            when(1, ',"guess":1'), when(9, ',"rules":{}'), F.when(c != 9, F.concat(
+                F.lit(',"rules":[{"id":"a","from":"fields.a","to":"event.action","convert":"lowercase","lookup":"t"},{"id":"b","from":"fields.b","to":"event.time","convert":"timestamp","required":true'),
+                when(2, ',"guess":true'), F.lit("}]"))).otherwise(""),
+            F.lit(',"taxonomies":{"t":{"allow":["permit"],"deny":["drop"'), when(10, ',"permit"'), F.lit("]}}}")))
+        .when(kind == "taxonomies", F.concat(
+            F.lit('{"config_version":"taxonomies/1","taxonomies":{"u":{"low":[],"high":["severe"]}}'), when(4, ',"rules":[]'), F.when(c == 11, "").otherwise("}")))
+        .when(kind == "fingerprints", F.concat(
+            F.lit('{"config_version":"fingerprints/1","fingerprints":[{"parser_id":"p","required_literals":["x"],"score":900'), when(6, ',"regex":".*"'), F.lit("}]"), when(12, ',"id":"f"'), F.lit("}")))
+        .otherwise(F.lit('{"config_version":"parser/1","id":"p","version":"1.0.0","format":"kv","command":"sh"}'))
+    )
+    return domain.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("file"), kind.alias("kind"), body.alias("body"))
+
+
+query(
+    "rule_scan_violations",
+    """SELECT 'c' || c_custkey AS file, p AS place, v AS problem, q AS key FROM customer JOIN (VALUES (1, '$', 'UNKNOWN_KEY', 'guess'), (2, '$.rules[1]', 'UNKNOWN_KEY', 'guess'),
+ (3, '$', 'CONFIG_VERSION', NULL), (4, '$', 'UNKNOWN_KEY', 'rules'), (6, '$.fingerprints[0]', 'UNKNOWN_KEY', 'regex'), (8, '$', 'UNKNOWN_KEY', 'command'), (9, '$.rules', 'NOT_A_LIST', NULL),
+ (10, '$.taxonomies.t', 'REPEATED_ALIAS', 'permit'), (11, '$', 'NOT_JSON', NULL), (12, '$', 'UNKNOWN_KEY', 'id')) f(c, p, v, q) ON c_custkey % 16 = f.c""",
+)(lambda s, d: configs.config_violations(config_files(s, d), VERSIONS))
+query(
+    "rule_scan",
+    """SELECT 'c' || c_custkey AS file, 'm' || c_custkey AS mapping_id, '1.0.0' AS mapping_version, rule_ord, rule_id, source, target, convert, lookup, required FROM customer,
+ (VALUES (0, 'a', 'fields.a', 'event.action', 'lowercase', 't', false), (1, 'b', 'fields.b', 'event.time', 'timestamp', '', true)) r(rule_ord, rule_id, source, target, convert, lookup, required)
+ WHERE c_custkey % 16 IN (0, 13, 14, 15)""",
+)(lambda s, d: configs.rule_rows(config_files(s, d), VERSIONS))
+query(
+    "rule_scan_aliases",
+    """SELECT 'c' || c_custkey AS file, taxonomy, alias, canonical FROM customer, (VALUES ('t', 'allow', 'allow'), ('t', 'permit', 'allow'), ('t', 'deny', 'deny'), ('t', 'drop', 'deny'),
+ ('u', 'low', 'low'), ('u', 'high', 'high'), ('u', 'severe', 'high'), ('x', 'permit', 'deny')) a(tx, alias, canonical), LATERAL (SELECT CASE tx WHEN 'x' THEN 't' ELSE tx END AS taxonomy)
+ WHERE CASE tx WHEN 'u' THEN c_custkey % 16 IN (4, 5) WHEN 'x' THEN c_custkey % 16 = 10 ELSE c_custkey % 16 NOT IN (4, 5, 6, 7, 8, 11, 12) END""",
+)(lambda s, d: configs.alias_rows(config_files(s, d)))
