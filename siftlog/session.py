@@ -16,6 +16,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    # Call sites in error messages cost several gateway round trips for each column
+    # expression: half of the time it takes to build the interpretation plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # HotSpot never compiles a method above 8000 bytes of bytecode. A projection with
