@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlog.session import shared_dir
@@ -18,6 +23,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once_per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What `make` gives, made once in a Python worker and used by all of its tasks.
+
+    Functions travel by value, so their globals are new in each task; the module table is the process's own.
+    """
+    held = sys.modules.setdefault("_siftlog_llm_held", ModuleType("_siftlog_llm_held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

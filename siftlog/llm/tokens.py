@@ -39,6 +39,7 @@ from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from siftlog.llm.common import once_per_process
 from siftlog.llm.words import chunk_table, filled, ragged, slices
 
 MAGIC = b"TOKZ0001"
@@ -142,7 +143,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
     named = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = once_per_process(("encoder", tokenizer), lambda: Encoder(tokenizer))
         kind = id_type(encode.size)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +174,7 @@ def write_tokens(
         out.write(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = once_per_process(("encoder", tokenizer), lambda: Encoder(tokenizer))
         kind = id_type(encode.size)
         press = zstandard.ZstdCompressor(dict_data=dictionary_of(dictionary), level=3)
         name, part = f"{uuid.uuid4().hex}.bin", TaskContext.get().partitionId()
