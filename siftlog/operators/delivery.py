@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlog import vocab
+from siftlog.functions.ip import canonical_ip
 from siftlog.functions.text import drop_controls
 
 DELIVERY_KEY = ["connector_id", "revision_id"]
@@ -197,6 +198,9 @@ def project_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "src_port": (event["src_endpoint"]["port"].cast("bigint"), _unsigned(event["src_endpoint"]["port"], 2**16 - 1)),
         "dst_port": (event["dst_endpoint"]["port"].cast("bigint"), _unsigned(event["dst_endpoint"]["port"], 2**16 - 1)),
     }
+    addresses = {name: event[end]["ip"] for name, end in (("src_ip", "src_endpoint"), ("dst_ip", "dst_endpoint"))}
+    # An address column is typed in most sinks: one that is no address would fail the whole batch there.
+    guarded |= {name: (ip, canonical_ip(ip).isNotNull()) for name, ip in addresses.items()}
     bad = F.coalesce(*[F.when(v.isNotNull() & ~g, F.lit(name)) for name, (v, g) in guarded.items()])
     flat = envelopes.select(
         F.col("receipt.id").alias("receipt_id"),
@@ -208,10 +212,9 @@ def project_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("receipt.received_at_ns").alias("received_at_ns"),
         event["time"].alias("event_time"),
         F.col("receipt.source_profile_id").alias("source_profile_id"),
-        *[v.alias(name) for name, (v, _) in guarded.items()],
+        *[v.alias(name) for name, (v, _) in guarded.items() if name not in addresses],
         F.coalesce(event["action"], F.lit("")).alias("action"),
-        event["src_endpoint"]["ip"].alias("src_ip"),
-        event["dst_endpoint"]["ip"].alias("dst_ip"),
+        *[ip.alias(name) for name, ip in addresses.items()],
         F.coalesce(event["connection_info"]["protocol_name"], F.lit("")).alias("protocol"),
         F.col("processing.status").alias("status"),
         F.coalesce(F.col("processing.parser.id"), F.lit("")).alias("parser_id"),
