@@ -298,6 +298,53 @@ query(
 )(lambda s, d: tel.alert_evaluations(_history(s, d)))
 
 
+# alert, severity, metric, label of its series, value while the fault is on and off (SQL), test (SQL), hold or window in seconds
+_FAULTS = [
+    ("DiskAdmissionBlocked", "critical", "storage_admission_blocked", None, "1.0", "0.0", "value = 1", 60),
+    ("DiskApproachingWatermark", "warning", "storage_used_ratio", None, "0.9", "0.5", "value > 0.8", 900),
+    ("RawEvidenceIntegrityFailure", "critical", "reconciliation_findings_total", "corrupt", "(m div 7) % 13", None, None, 600),
+    ("ReconciliationStale", "warning", "maintenance_last_success_timestamp_seconds", "reconcile", "time_s - 2000", "time_s - 100", "time_s - value > 900", 300),
+    ("RequiredConnectorDeadLetter", "critical", "connector_deliveries", "required:DEAD_LETTER", "2.0", "0.0", "value > 0", 120),
+    ("ProcessingBacklog", "warning", "receipts", "PROCESSING", "1500.0", "10.0", "value > 1000", 600),
+    ("OldestQueueItemStale", "warning", "queue_oldest_age_seconds", None, "400.0", "5.0", "value > 300", 300),
+    ("RequiredDependencyUnavailable", "critical", "dependency_healthy", "required", "0.0", "1.0", "value = 0", 120),
+    ("CapacityRejections", "critical", "admission_requests_total", "rejected_capacity", "(m div 11) % 9", None, None, 300),
+]
+_ON = "((m div 20) % 3 <> 0 AND m % 97 <> 5)"
+
+
+def _fault_value(on, off):
+    return f"CAST({on} AS DOUBLE)" if off is None else f"CAST(CASE WHEN {_ON} THEN {on} ELSE {off} END AS DOUBLE)"
+
+
+def _alert_sql(alert, severity, _, label, on, off, test, seconds):
+    base = f"SELECT series, time_s, {_fault_value(on, off)} AS value FROM h{' WHERE s4 <> 3' if label else ''}"
+    window = f"WINDOW w AS (PARTITION BY series ORDER BY time_s RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW)"
+    if test is None:
+        steps = f"SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS step FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY time_s) AS p FROM ({base}))"
+        state, rows = "CASE WHEN inc > 0 THEN 'firing' ELSE 'inactive' END", f"SELECT *, sum(step) OVER w - first(step) OVER w AS inc FROM ({steps}) {window}"
+    else:
+        state = "CASE WHEN NOT active THEN 'inactive' WHEN held THEN 'firing' ELSE 'pending' END"
+        rows = f"SELECT *, min(CAST(active AS INT)) OVER w = 1 AND time_s - min(time_s) OVER w >= {seconds} AS held FROM (SELECT *, {test} AS active FROM ({base})) {window}"
+    return f"SELECT '{alert}' AS alert, '{severity}' AS severity, series, time_s, value, {state} AS state FROM ({rows})".replace(" div ", " // ")
+
+
+@query(
+    "alert_rules_all",
+    "WITH h AS (SELECT event_id % 4 AS s4, 's' || (event_id % 4) AS series, event_id // 4 AS m, 1700000000 + (event_id // 4) * 60 AS time_s FROM events) "
+    + " UNION ALL ".join(_alert_sql(*f) for f in _FAULTS),
+)
+def alert_rules_all(spark, sf_dir):
+    """Every rule over four series a metric, with faults that come and go; the last series of a labelled metric has another label."""
+    ev = domain.events(spark, sf_dir).select(
+        (F.col("event_id") % 4).alias("s4"), F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("series"), F.expr("event_id div 4").alias("m"),
+        F.expr("1700000000 + event_id div 4 * 60").alias("time_s"))
+    samples = F.array(*[
+        F.struct(F.lit(metric).alias("metric"), F.when(F.col("s4") == 3, "other").otherwise(F.lit(label or "any")).alias("label"), F.expr(_fault_value(on, off)).alias("value"))
+        for _, _, metric, label, on, off, _, _ in _FAULTS])
+    return tel.alert_evaluations(ev.select("series", "time_s", F.explode(samples).alias("x")).select("x.metric", "series", "x.label", "time_s", "x.value"))
+
+
 def _allowed(spark, sf_dir):
     n = domain.table(spark, sf_dir, "nation")
     return n.select(F.concat(F.lit("metric_"), (F.col("n_regionkey")).cast("string")).alias("metric"), F.lit("nation").alias("label"), F.col("n_name").alias("value"))
