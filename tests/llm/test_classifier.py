@@ -1,4 +1,9 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftlog.llm import classifier
@@ -24,19 +29,64 @@ def test_held_out_accuracy(spark):
 
 def test_features_equal_their_definition():
     def one(data, salt):
-        h = sum((b + 1) * pow(classifier._STEP, k, 1 << 64) for k, b in enumerate(data)) % (1 << 64)
+        h = sum((ord(c) + 1) * pow(classifier._STEP, k, 1 << 64) for k, c in enumerate(data)) % (1 << 64)
         return ((h * int(classifier._SPREAD) + salt) * int(classifier._SPREAD) % (1 << 64)) >> 48, h
 
-    text = "Ab  é\tcd cd\nx"
-    raw = text.encode()
-    want = [one(raw[i : i + n], n)[0] for n in classifier.NGRAMS for i in range(len(raw) - n + 1)]
-    words = [one(w, 99) for w in raw.split()]
+    text = "Ab  é\tcd 語 cd\n😀x\x0bд"
+    want = [one(text[i : i + n], n)[0] for n in classifier.NGRAMS for i in range(len(text) - n + 1)]
+    words = [one(w, 99) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
     pairs = [((((b - a) % (1 << 64)) * int(classifier._SPREAD) + 98) * int(classifier._SPREAD) % (1 << 64)) >> 48 for (_, a), (_, b) in zip(words, words[1:])]
     end = (97 * int(classifier._SPREAD) % (1 << 64)) >> 48
     assert classifier.features(text).tolist() == [*want, *(w for w, _ in words), *pairs, end]
     assert len(classifier.features("")) == 0 and classifier.features(" ").tolist() == [end]
 
 
+def plain_scores(examples, texts, buckets, dimensions, epochs, rate=0.5):
+    """Softmax over averaged vectors, trained one example at a time with plain lists."""
+    draw = np.random.default_rng(1)
+    vectors = ((draw.random((buckets, dimensions)) - 0.5) / dimensions).tolist()
+    weights, bias = [[0.0] * dimensions, [0.0] * dimensions], [0.0, 0.0]
+    axes, draw, done = range(dimensions), np.random.default_rng(2), 0
+
+    def forward(text):
+        bag = Counter(classifier.features(text, buckets).tolist())
+        total = max(1, sum(bag.values()))
+        mean = [sum(n / total * vectors[b][d] for b, n in bag.items()) for d in axes]
+        logits = [sum(w * m for w, m in zip(weights[c], mean)) + bias[c] for c in (0, 1)]
+        top = max(logits)
+        odds = [math.exp(x - top) for x in logits]
+        return bag, total, mean, [x / sum(odds) for x in odds]
+
+    for _ in range(epochs):
+        for k in draw.permutation(len(examples)):
+            text, label = examples[k]
+            speed = rate * (1 - done / (epochs * len(examples)))
+            done += 1
+            bag, total, mean, odds = forward(text)
+            error = [p - (c == label) for c, p in enumerate(odds)]
+            down = [sum(error[c] * weights[c][d] for c in (0, 1)) for d in axes]
+            for c in (0, 1):
+                weights[c] = [w - speed * error[c] * m for w, m in zip(weights[c], mean)]
+                bias[c] -= speed * 0.1 * error[c]
+            for b, n in bag.items():
+                step = min(n / total * len(bag), 4.0)
+                vectors[b] = [v - speed * step * x for v, x in zip(vectors[b], down)]
+    return [forward(t)[3][1] for t in texts]
+
+
+def test_training_and_scores_equal_plain_descent(spark):
+    good, bad = "the quiet river runs past old stone walls", "buy buy buy!!! 語語 click $$$ now now"
+    texts = [f"{good} {k} {'é' * k}" for k in range(6)] + [f"{bad} {k} " * (1 + k) for k in range(6)] + ["", "river 語 click"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(12)], "doc_id bigint, quality int")
+    model = classifier.fit(docs, labels, buckets=1 << 9)
+    got = {r.doc_id: r.score for r in classifier.score_documents(docs, model).collect()}
+    order = sorted(range(12), key=str)  # the sample is ordered by id as text
+    want = plain_scores([(texts[k], int(k < 6)) for k in order], texts, 1 << 9, classifier.DIMENSIONS, classifier.EPOCHS)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-4)
+    assert min(want[:6]) > max(want[6:12])
+
+
 def test_scores_do_not_depend_on_other_columns_or_rows(spark):
     docs, labels, model = learned(spark)
     rows = {r.doc_id: r.score for r in classifier.score_documents(docs, model).collect()}
