@@ -9,6 +9,7 @@ from siftlog.operators import telemetry
 from siftlog.plans import domain
 from siftlog.plans.domain import NOW_NS, NOW_US
 from siftlog.plans.registry import query
+from siftlog.sources import evidence
 
 CUTOFF_NS = NOW_NS - 10 * gov.DAY_NS
 
@@ -61,10 +62,23 @@ query(
  UNION ALL SELECT ref, 'orphan' FROM inventory i WHERE ends_with(ref, '.bin') AND {NOW_US} - mtime_us >= 3600000000
  AND NOT EXISTS (SELECT 1 FROM receipts r WHERE r.raw_ref = i.ref)""",
 )(lambda s, d: gov.stray_files(domain.inventory(s, d), domain.receipts(s, d), NOW_US))
-query(
+_HELD = "CASE WHEN doc_id % 9 = 2 THEN text || '!' ELSE text END"
+
+
+@query(
     "content_hash_verify",
-    "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents",
-)(lambda s, d: domain.table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes")))
+    f"""SELECT doc_id, CASE WHEN doc_id % 19 = 7 OR text IS NULL THEN 'missing' WHEN doc_id % 9 = 2 OR doc_id % 14 = 3 THEN 'corrupt' ELSE 'verified' END AS verdict,
+ CASE WHEN doc_id % 19 <> 7 THEN sha256({_HELD}) END AS sha256, CASE WHEN doc_id % 19 <> 7 THEN strlen({_HELD}) END AS size_bytes FROM documents""",
+)
+def content_hash_verify(spark, sf_dir):
+    """Contents of which some are lost or altered, against declared digests and sizes of which some are wrong."""
+    k, text = F.col("doc_id"), F.col("text")
+    held = F.when(k % 19 != 7, F.when(k % 9 == 2, F.concat(text, F.lit("!"))).otherwise(text).cast("binary"))
+    size = F.octet_length(text) + F.when(k % 14 == 3, 1).otherwise(0)
+    found = evidence.content_verdict(held, F.sha2(text.cast("binary"), 256), size)
+    return domain.table(spark, sf_dir, "documents").select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
 query(
     "raw_listing",
     """SELECT receipt_id, tenant_id, state, raw_ref, raw_size, raw_available FROM receipts WHERE tenant_id = 't0' AND receipt_id > '00000000-0000-7000-8000-000000000100'

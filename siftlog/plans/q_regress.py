@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 from siftlog.operators import mapping as mp
 from siftlog.operators import regress
 from siftlog.operators.detect import Fingerprint, Routes, detect
-from siftlog.operators.parse import parse_captures
+from siftlog.operators.parse import parse, parse_captures
 from siftlog.plans import bundles, domain
-from siftlog.plans.q_parse import parsed_as
+from siftlog.plans.q_parse import rendered
 from siftlog.plans.registry import query
 from siftlog.session import ensure_utc, shared_dir
 
 
-def _run(spark, sf_dir):
-    out = mp.apply_mapping(parsed_as(spark, sf_dir, "kv"), bundles.MAPPINGS["kv"])
-    return out.select(F.col("event_id").cast("string").alias("fixture"), F.lit("SELECTED").alias("outcome"), F.col("parsed.status").alias("parse_status"), "mapped")
+def _run(spark, sf_dir, lost="false"):
+    """Every event as a key=value fixture, detected, parsed and mapped; fixtures `lost` are prose."""
+    raw = F.when(F.expr(lost), F.encode(F.lit("nothing to read here"), "UTF-8")).otherwise(F.col("raw"))
+    rows = detect(rendered(spark, sf_dir, "kv").withColumn("raw", raw), keep_read=False).withColumn("impl", F.lit("kv"))
+    out = mp.apply_mapping(parse(rows, impl="impl", only=("kv",)), bundles.MAPPINGS["kv"])
+    return out.select(F.col("event_id").cast("string").alias("fixture"), "detection.outcome", F.col("parsed.status").alias("parse_status"), "mapped")
 
 
 @query(
     "regress_fixture_events",
-    "SELECT CAST(event_id AS VARCHAR) AS fixture, CASE WHEN f_action = 'vendor-magic' OR f_dpt = '99999' THEN 'NOT_NORMALIZED' ELSE 'EVENT_DIFFERS' END AS problem FROM pf WHERE f_action = 'vendor-magic' OR f_dpt = '99999' OR event_id % 50 = 8",
+    "SELECT CAST(event_id AS VARCHAR) AS fixture, CASE WHEN event_id % 45 = 11 THEN 'NOT_SELECTED' WHEN f_action = 'vendor-magic' OR f_dpt = '99999' THEN 'NOT_NORMALIZED' "
+    "WHEN event_id % 60 = 13 THEN 'NO_EXPECTED_EVENT' ELSE 'EVENT_DIFFERS' END AS problem FROM pf "
+    "WHERE event_id % 45 = 11 OR f_action = 'vendor-magic' OR f_dpt = '99999' OR event_id % 50 = 8 OR event_id % 60 = 13",
 )
 def regress_fixture_events(spark, sf_dir):
-    """Expected events are rendered from the columns; every 50th is made to differ."""
+    """Expected events are rendered from the columns; some are made to differ or left away, and some fixtures are not selected."""
     ev = domain.fields(domain.events(spark, sf_dir))
     action = F.when(F.col("f_action") == "blocked", "deny").otherwise("allow")
     sev = F.when(F.col("f_severity") == "warning", "medium").otherwise(F.lower("f_severity"))
@@ -36,7 +41,8 @@ def regress_fixture_events(spark, sf_dir):
         F.struct(F.col("f_src").alias("ip"), F.col("f_spt").cast("int").alias("port")).alias("src_endpoint"),
         F.struct(F.col("f_dst").alias("ip"), F.col("f_dpt").cast("int").alias("port")).alias("dst_endpoint"),
         F.struct(F.lower("f_proto").alias("protocol_name")).alias("connection_info"), F.struct(F.struct(F.col("f_user").alias("user")).alias("actor")).alias("extensions")))
-    return regress.fixture_failures(_run(spark, sf_dir), ev.select(F.col("event_id").cast("string").alias("fixture"), text.alias("event_json")))
+    run = _run(spark, sf_dir, lost="event_id % 45 = 11")
+    return regress.fixture_failures(run, ev.filter("event_id % 60 <> 13").select(F.col("event_id").cast("string").alias("fixture"), text.alias("event_json")))
 
 
 @query("regress_determinism", "SELECT event_id AS fixture FROM events WHERE event_id % 71 = 6")
@@ -57,13 +63,15 @@ def regress_determinism(spark, sf_dir):
     return regress.unstable_keys(stored_run(spark, False), stored_run(own, True).repartition(3), ["fixture"])
 
 
-@query("regress_wrongly_selected", "SELECT doc_id AS fixture FROM documents WHERE false")
+@query("regress_wrongly_selected", "SELECT 'e' || event_id AS fixture FROM pl WHERE fmt = 'kv'")
 def regress_wrongly_selected(spark, sf_dir):
-    """Prose must never meet the fingerprint of the rendered key=value source."""
+    """Prose and events of all formats as fixtures that the fingerprint of the key=value source must not select: the events of that source are found, no prose is."""
     kv = Fingerprint("bundle-kv", "kv", ("time=", "synthetic=true", "sport="), 950, 200, bundle_sha256="b0")
-    docs = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fixture"), F.col("text").cast("binary").alias("raw"), F.lit("b0").alias("bundle"))
-    run = detect(docs, bundle="bundle", routes=Routes({"b0": [kv]}), keep_read=False).select("fixture", "detection.outcome")
-    return regress.wrongly_selected(docs.select("fixture"), run)
+    docs = domain.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("fixture"), F.col("text").cast("binary").alias("raw"))
+    events = domain.payloads(spark, sf_dir).select(F.concat(F.lit("e"), "event_id").alias("fixture"), "raw")
+    invalid = docs.unionByName(events).withColumn("bundle", F.lit("b0"))
+    run = detect(invalid, bundle="bundle", routes=Routes({"b0": [kv]}), keep_read=False).select("fixture", "detection.outcome")
+    return regress.wrongly_selected(invalid.select("fixture"), run)
 
 
 @query(

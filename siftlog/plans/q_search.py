@@ -90,20 +90,28 @@ def cursor_round_trip(spark, sf_dir):
     return rows.select("cursor_text", search.decode_cursor(F.col("cursor_text")).alias("c")).select("cursor_text", "c.*")
 
 
+def _stored_twice(spark, sf_dir):
+    """Flat events, of which every hundredth is stored twice."""
+    rows = _flat(spark, sf_dir)
+    return rows.unionByName(rows.filter("event_id % 100 = 7"))
+
+
 @query(
     "event_lookup",
-    f"SELECT {COLS} FROM flat_events WHERE tenant_id = 't' || ((SELECT user_id FROM events WHERE event_id = 77) % 4) "
-    "AND revision_id = '00000000-0000-7000-9001-00000000004d'",
+    """SELECT CASE WHEN event_id % 9 = 4 THEN 'other' ELSE tenant_id END AS tenant_id, revision_id,
+ CASE WHEN event_id % 9 = 4 THEN 'NOT_FOUND' WHEN event_id % 100 = 7 THEN 'DUPLICATE' ELSE 'FOUND' END AS verdict,
+ CASE WHEN event_id % 9 <> 4 AND event_id % 100 <> 7 THEN receipt_id END AS receipt_id, CASE WHEN event_id % 9 <> 4 AND event_id % 100 <> 7 THEN received_at_ns END AS received_at_ns FROM flat_events""",
 )
 def event_lookup(spark, sf_dir):
-    ev = domain.events(spark, sf_dir).filter("event_id = 77").first()
-    tenant = f"t{ev['user_id'] % 4}"
-    return search.lookup_event(_flat(spark, sf_dir).select(*OUT), tenant, "00000000-0000-7000-9001-00000000004d")
+    """Every revision looked up, some under another tenant, in a table that holds some of them twice."""
+    wanted = _flat(spark, sf_dir).select(F.when(F.col("event_id") % 9 == 4, "other").otherwise(F.col("tenant_id")).alias("tenant_id"), "revision_id")
+    found = search.lookup_events(_stored_twice(spark, sf_dir).select(*OUT), wanted)
+    return found.select("tenant_id", "revision_id", "verdict", "event.receipt_id", "event.received_at_ns")
 
 
-@query("duplicate_event_check", "SELECT tenant_id, revision_id, count(*) AS count FROM flat_events GROUP BY 1, 2 HAVING count(*) > 1")
+@query("duplicate_event_check", "SELECT tenant_id, revision_id, 2 AS count FROM flat_events WHERE event_id % 100 = 7")
 def duplicate_event_check(spark, sf_dir):
-    return search.duplicate_events(_flat(spark, sf_dir))
+    return search.duplicate_events(_stored_twice(spark, sf_dir))
 
 
 @query(

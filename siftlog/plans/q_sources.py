@@ -11,12 +11,26 @@ from siftlog.session import shared_dir
 from siftlog.sources import configs, evidence, sinks
 
 
-@query("scan_evidence_files", "SELECT count(*) AS files, true AS digests_match FROM (SELECT 1 FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')))")
+_FILE = "s_name || ' ' || s_nationkey || chr(10)"
+
+
+@query(
+    "scan_evidence_files",
+    f"""SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 5 THEN 'missing' WHEN s_suppkey % 7 = 3 OR s_suppkey % 11 = 4 THEN 'corrupt' ELSE 'verified' END AS verdict,
+ CASE WHEN s_suppkey % 13 <> 5 THEN sha256({_FILE}) END AS sha256, CASE WHEN s_suppkey % 13 <> 5 THEN strlen({_FILE}) END AS size_bytes FROM supplier""",
+)
 def scan_evidence_files(spark, sf_dir):
-    """Scan every given file as binary evidence and digest it."""
+    """Write a file for every supplier but some, scan the files, and hold them against references of which some name another digest or size."""
     domain.ensure_utc(spark)
-    files = evidence.scan_files(spark, f"{sf_dir}/*.parquet")
-    return files.agg(F.count(F.lit(1)).alias("files"), (F.count_if(F.sha2("raw", 256) != F.col("sha256")) == 0).alias("digests_match"))
+    k, path = F.col("s_suppkey"), shared_dir(spark, "evidence")
+    rows = domain.table(spark, sf_dir, "supplier").withColumn("line", F.concat("s_name", F.lit(" "), F.col("s_nationkey").cast("string")))
+    rows.filter(k % 13 != 5).select(k.alias("key"), "line").write.partitionBy("key").option("lineSep", "\n").text(path)
+    files = evidence.scan_files(spark, path).select(F.regexp_extract("path", "/key=([0-9]+)/[^/]*$", 1).alias("ref"), "raw")
+    whole = F.concat("line", F.lit("\n"))
+    declared = rows.select(
+        "s_suppkey", k.cast("string").alias("ref"), F.sha2(F.when(k % 7 == 3, F.upper(F.concat(whole, F.lit("x")))).otherwise(whole).cast("binary"), 256).alias("sha256"),
+        (F.octet_length(whole) + F.when(k % 11 == 4, 1).otherwise(0)).alias("size_bytes"))
+    return evidence.verify_files(declared, files).select("s_suppkey", "found.verdict", "found.sha256", "found.size_bytes")
 
 
 def _frames(spark, sf_dir):
@@ -122,11 +136,15 @@ def sink_monthly_table(spark, sf_dir):
     return sinks.read_table(spark, path).groupBy(F.col("yyyymm").cast("string").alias("yyyymm"), "tenant_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("sink_ndjson", "SELECT revision_id AS id FROM flat_events")
+@query("sink_ndjson", "SELECT revision_id AS id, receipt_id AS receipt, tenant_id AS tenant, received_at_ns AS at, 'a \"b\" \\ é' || chr(10) || receipt_id AS note FROM flat_events")
 def sink_ndjson(spark, sf_dir):
+    """Documents of several fields, one with quotes, a backslash and a line break, written as lines and read strictly."""
     path = shared_dir(spark, "ndjson")
-    sinks.write_envelopes_ndjson(_flat(spark, sf_dir), path)
-    return spark.read.schema("id string").option("mode", "FAILFAST").json(path)
+    document = F.to_json(F.struct(
+        F.col("revision_id").alias("id"), F.col("receipt_id").alias("receipt"), F.col("tenant_id").alias("tenant"), F.col("received_at_ns").alias("at"),
+        F.concat(F.lit('a "b" \\ é\n'), "receipt_id").alias("note")))
+    sinks.write_envelopes_ndjson(_flat(spark, sf_dir).withColumn("envelope_json", document), path)
+    return spark.read.schema("id string, receipt string, tenant string, at bigint, note string").option("mode", "FAILFAST").json(path)
 
 
 VERSIONS = {"mapping": "mapping/1", "taxonomies": "taxonomies/1", "parser": "parser/1", "fingerprints": "fingerprints/1"}
