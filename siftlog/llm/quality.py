@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from siftlog.llm.common import SPACES, stored
 from siftlog.llm.words import filled, slices
@@ -38,6 +38,8 @@ SYMBOLS = b"#*$%&|<>"
 #: How far the bands lie from the median of log perplexity: in quartile distances, and at least so much;
 #: and how much further for a text of n characters, times 1 / sqrt(n), as the mean of few characters scatters more.
 BAND_WIDTH, LEAST_BAND, SHORT_TEXT = 6.0, 0.12, 1.5
+#: Quartiles of log perplexity are found to this step.
+STEP = 1e-4
 SLICE_BYTES = 2 << 20
 
 RATING = T.StructType([
@@ -200,23 +202,31 @@ def rate_documents(
         return pd.DataFrame(rows, columns=RATING.names)
 
     columns = [c for c in (keep or docs.columns) if c != "quality"]
-    rated = stored(docs.select(*columns, lang.alias("_quality_lang"), rating(F.col(text_col), lang).alias("quality")), "rated")
-    quartiles = rated.filter("quality.log_perplexity is not null").groupBy("_quality_lang").agg(
-        F.percentile_approx("quality.log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000)).alias("q"))
+    rated = stored(docs.select(F.struct(*columns).alias("doc"), lang.alias("lang"), rating(F.col(text_col), lang).alias("quality")), "rated")
+    limits = stored(bands(rated.select("lang", F.col("quality.log_perplexity").alias("score")), band_width), "bands")
     score = F.col("quality.log_perplexity")
     short = F.lit(SHORT_TEXT) / F.sqrt(F.greatest("quality.n_scored", F.lit(1)))
-    bands: list[F.Column] = []
-    for row in quartiles.collect():
-        low, middle, high = row["q"]
-        below, above = (max(band_width * x, LEAST_BAND) for x in (middle - low, high - middle))
-        bands += [F.lit(row["_quality_lang"]), F.struct(F.lit(middle - below).alias("low"), F.lit(middle + above).alias("high"))]
-    inside = F.lit(True)
-    if bands:
-        band = F.try_element_at(F.create_map(*bands), F.col("_quality_lang"))
-        inside = score.between(band["low"] - short, band["high"] + short)
+    inside = score.between(F.col("low") - short, F.col("high") + short)
     n, repeated = F.col("quality.n_words"), F.col("quality.n_repeat_words")
     failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
-    return rated.select(*columns, F.struct("quality.*", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept")).alias("quality"))
+    verdict = F.struct("quality.*", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
+    return rated.join(limits, "lang", "left").select("doc.*", verdict.alias("quality"))
+
+
+def bands(scores: DataFrame, band_width: float = BAND_WIDTH) -> DataFrame:
+    """(lang, low, high) from (lang, score): the median less and plus `band_width` distances to the quartiles.
+
+    Scores are counted in steps of STEP, so a language has a bounded number of
+    counts, whose running sums name the quartiles. Sums of counts do not depend
+    on the order of rows or partitions, so every run gives the same bands.
+    """
+    steps = scores.filter("score is not null").groupBy("lang", F.round(F.col("score") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("lang")
+    ranked = steps.withColumn("upto", F.sum("n").over(own.orderBy("step"))).withColumn("all", F.sum("n").over(own))
+    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("step"))) * STEP
+    found = ranked.groupBy("lang").agg(quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3"))
+    distance = lambda far, near: F.greatest(F.lit(band_width) * (F.col(far) - F.col(near)), F.lit(LEAST_BAND))
+    return found.select("lang", (F.col("q2") - distance("q2", "q1")).alias("low"), (F.col("q2") + distance("q3", "q2")).alias("high"))
 
 
 def _scored(codes: np.ndarray, model: KneserNey) -> float:

@@ -86,6 +86,43 @@ def test_model_sums_to_one(spark):
         assert abs(np.exp(model.log_probability(all_codes)).sum() - 1) < 1e-9
 
 
+def plain_band(scores, width):
+    """Quartiles by nearest rank among all scores, rounded to steps."""
+    steps = sorted(round(x / quality.STEP) for x in scores)
+    q1, q2, q3 = (steps[math.ceil(k * len(steps) / 4) - 1] * quality.STEP for k in (1, 2, 3))
+    return q2 - max(width * (q2 - q1), quality.LEAST_BAND), q2 + max(width * (q3 - q2), quality.LEAST_BAND)
+
+
+def test_verdicts_equal_brute_force(spark):
+    docs = some_documents(spark).withColumn("lang", F.when(F.col("doc_id") % 7 != 3, F.col("lang")))
+    for width in (quality.BAND_WIDTH, 0.7):
+        rows = quality.rate_documents(docs, band_width=width).select("text", "lang", "quality.*").collect()
+        again = quality.rate_documents(docs.repartition(5), band_width=width).select("text", "lang", "quality.*").collect()
+        assert sorted(rows, key=str) == sorted(again, key=str)
+        own = {}
+        for r in rows:
+            own.setdefault(r.lang, []).append(r)
+        rejected = 0
+        for of_lang in own.values():
+            low, high = plain_band([r.log_perplexity for r in of_lang if r.log_perplexity is not None], width)
+            for r in of_lang:
+                short = quality.SHORT_TEXT / math.sqrt(len(r.text)) if r.text else 0
+                outside = r.log_perplexity is not None and not low - short <= r.log_perplexity <= high + short
+                assert r.kept == (not r.base_failed and not outside)
+                rejected += outside and not r.base_failed
+        assert rejected and len(own) > 2
+
+
+def test_bands_of_ties_empty_tables_and_clashing_names(spark):
+    scores = spark.createDataFrame([("a", 1.0)] * 5 + [("b", 1.0), ("b", 2.0), ("c", None), (None, 3.0)], "lang string, score double")
+    got = {r.lang: (r.low, r.high) for r in quality.bands(scores).collect()}
+    assert set(got) == {"a", "b", None} and got["a"] == (1 - quality.LEAST_BAND, 1 + quality.LEAST_BAND)
+    assert quality.bands(scores.limit(0)).count() == 0
+    docs = some_documents(spark).withColumns({c: F.lit(1) for c in ("low", "high", "doc", "_quality_lang")}).withColumn("quality", F.lit("x"))
+    out = quality.rate_documents(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "quality"), "quality"] and out.filter("low = 1 and doc = 1").count() == docs.count()
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
