@@ -32,21 +32,23 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without long lines that at least five share, but for the largest doc_id."""
-    out = line_dedup.dedup_lines(docs, result="_lines").drop("_lines")
+    result = max(docs.columns, key=len) + "_lines"  # no column has this name
+    out = line_dedup.dedup_lines(docs, result=result).drop(result)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id of each group of near-duplicates, and of those of smallest text hash; of rows equal in both the smallest by its columns."""
-    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("_text_hash")))
-    found = simhash.near_duplicates(docs.select(key.alias("_near"), "text"), "_near", words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    key = F.struct("doc_id", F.xxhash64("text").alias("_text_hash"))
+    found = simhash.near_duplicates(named.select(key.alias("_near"), "text"), "_near", words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
     keepers = stored(found.filter(F.col("_near") == F.col("component_id")).select("_near.*").distinct(), "keepers")
     order = F.struct(*[f"`{c.name}`" for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))])
-    named = (
-        docs.withColumn("_text_hash", F.xxhash64("text")).join(keepers, ["doc_id", "_text_hash"], "left_semi")
-        .groupBy("doc_id", "_text_hash").agg(F.min_by(F.struct(*docs.columns), order).alias("_doc")).select("_doc.*")
+    kept = (
+        named.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.struct(*docs.columns).alias("_doc"), order.alias("_order"))
+        .join(keepers, ["doc_id", "_text_hash"], "left_semi").groupBy("doc_id", "_text_hash").agg(F.min_by("_doc", "_order").alias("_doc")).select("_doc.*")
     )
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_leaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
