@@ -73,3 +73,18 @@ def test_rows_of_one_id_with_other_texts_are_all_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
     kept = pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()
     assert sorted((tuple(r) for r in kept), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_null_ids_do_not_bridge_documents_and_names_may_clash(spark):
+    words = [f"w{k}" for k in range(400)]
+    changed = lambda places: " ".join("x" * (3 + k % 5) if k in places else w for k, w in enumerate(words))
+    texts = [changed(range(0, 24, 3)), changed(()), changed(range(200, 224, 3))]
+    prints = [[plain_fingerprint(t, pipeline.NEAR_WORDS, s) for s in pipeline.NEAR_SEEDS] for t in texts]
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= pipeline.NEAR_BITS and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= pipeline.NEAR_TOTAL
+    rows = [(1, texts[0], 5, "a"), (None, texts[1], 6, "b"), (2, texts[2], 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text_hash int, _lines string")
+    kept = {r.doc_id for r in pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()}
+    assert kept == ({1, None} if near(prints[0], prints[2]) else {1, 2, None})
+    assert near(prints[0], prints[1]) and near(prints[1], prints[2])
+    out = pipeline.drop_shared_lines(spark, docs, DATA)
+    assert sorted(out.collect(), key=str) == sorted(docs.collect(), key=str) and out.columns == docs.columns
