@@ -43,10 +43,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     key = F.struct("doc_id", F.xxhash64("text").alias("_text_hash"))
     found = simhash.near_duplicates(named.select(key.alias("_near"), "text"), "_near", words=NEAR_WORDS, max_bits=NEAR_BITS, seeds=NEAR_SEEDS, max_total=NEAR_TOTAL)
     keepers = stored(found.filter(F.col("_near") == F.col("component_id")).select("_near.*").distinct(), "keepers")
-    order = F.struct(*[f"`{c.name}`" for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))])
+    order = F.struct(*[F.col("_doc")[c.name] for c in docs.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))])
     kept = (
-        named.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.struct(*docs.columns).alias("_doc"), order.alias("_order"))
-        .join(keepers, ["doc_id", "_text_hash"], "left_semi").groupBy("doc_id", "_text_hash").agg(F.min_by("_doc", "_order").alias("_doc")).select("_doc.*")
+        named.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.struct(*docs.columns).alias("_doc"))
+        .join(keepers, ["doc_id", "_text_hash"], "left_semi").groupBy("doc_id", "_text_hash").agg(F.min_by("_doc", order).alias("_doc")).select("_doc.*")
     )
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
