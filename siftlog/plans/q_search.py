@@ -86,7 +86,7 @@ def search_keyset_page(spark, sf_dir):
 @query("cursor_round_trip", f"SELECT {_CURSOR} AS cursor_text, received_at_ns, receipt_id, revision_id FROM flat_events")
 def cursor_round_trip(spark, sf_dir):
     """Encode every row's position, decode it, report the decoded values."""
-    rows = _flat(spark, sf_dir).select(search.encode_cursor().alias("cursor_text"))
+    rows = domain.flat_events(spark, sf_dir, dealt=True).select(search.encode_cursor().alias("cursor_text"))
     return rows.select("cursor_text", search.decode_cursor(F.col("cursor_text")).alias("c")).select("cursor_text", "c.*")
 
 
