@@ -15,9 +15,9 @@ NAMES = ["time", "kind", "src", "dst", "spt", "dpt", "proto", "action", "severit
 
 def rendered(spark, sf_dir, fmt):
     """Every event rendered in one format."""
-    ev = domain.fields(domain.events(spark, sf_dir))
+    ev = domain.fields(domain.events(spark, sf_dir, dealt=True))
     body = render.payload(F.lit(fmt), {n: F.col(f"f_{n}") for n in NAMES})
-    return spread(ev.select("event_id", body.cast("binary").alias("raw")))
+    return ev.select("event_id", body.cast("binary").alias("raw"))
 
 
 def parsed_as(spark, sf_dir, fmt, impl=None):
@@ -64,13 +64,13 @@ _round_trip("parse_syslog_5424", "syslog", {"time": "$.timestamp", "kind": "$.ms
  CAST(1 + event_id % 12 AS BIGINT) AS month, CAST(1 + event_id % 28 AS BIGINT) AS day, f_user AS tag, CAST(event_id AS VARCHAR) AS proc_id, f_note AS message FROM pf""",
 )
 def parse_syslog_3164(spark, sf_dir):
-    ev = domain.fields(domain.events(spark, sf_dir))
+    ev = domain.fields(domain.events(spark, sf_dir, dealt=True))
     e = F.col("event_id")
     months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
     day = F.lpad((1 + e % 28).cast("string"), 2, " ")
     text = F.concat(F.lit("<"), ((e % 24) * 8 + e % 8).cast("string"), F.lit(">"), domain.pick(months, e % 12), F.lit(" "), day,
                     F.lit(" 03:04:05 edge-01 "), "f_user", F.lit("["), e.cast("string"), F.lit("]: "), "f_note")
-    out = parse(spread(ev.select("event_id", text.cast("binary").alias("raw"), F.lit("syslog").alias("impl"))), impl="impl", only=("syslog",))
+    out = parse(ev.select("event_id", text.cast("binary").alias("raw"), F.lit("syslog").alias("impl")), impl="impl", only=("syslog",))
 
     def num(p):
         return F.try_variant_get("parsed.fields", p, "bigint")
@@ -111,9 +111,9 @@ def parse_unmatched_text(spark, sf_dir):
     "SELECT event_id, 'PARTIALLY_PARSED' AS status, f_kind || '|' || f_user || '|' || f_src AS repeated, f_proto AS single, 2 AS duplicate_issues FROM pf",
 )
 def parse_duplicate_keys(spark, sf_dir):
-    ev = domain.fields(domain.events(spark, sf_dir))
+    ev = domain.fields(domain.events(spark, sf_dir, dealt=True))
     text = F.concat(F.lit("a="), "f_kind", F.lit(" b="), "f_proto", F.lit(" a="), "f_user", F.lit(" a="), "f_src")
-    out = parse_kv(spread(ev.select("event_id", text.alias("t"))), "t", "parsed")
+    out = parse_kv(ev.select("event_id", text.alias("t")), "t", "parsed")
     repeated = F.array_join(F.try_variant_get("parsed.fields", "$.attributes.a", "array<string>"), "|")
     dup = F.size(F.filter("parsed.issues", lambda i: i["code"] == "KV_DUPLICATE_KEY"))
     return out.select("event_id", "parsed.status", repeated.alias("repeated"), _get("$.attributes.b").alias("single"), dup.alias("duplicate_issues"))
@@ -124,7 +124,7 @@ def parse_duplicate_keys(spark, sf_dir):
     "SELECT s_suppkey, CASE WHEN 4000 + s_suppkey * 2 > 4096 THEN 'KV_FIELD_LIMIT_EXCEEDED' END AS hit_limit FROM supplier",
 )
 def parse_limits(spark, sf_dir):
-    s = domain.table(spark, sf_dir, "supplier")
+    s = spread(domain.table(spark, sf_dir, "supplier").select("s_suppkey"))
     pairs = F.transform(F.sequence(F.lit(1), (F.lit(4000) + F.col("s_suppkey") * 2).cast("int")), lambda i: F.concat(F.lit("k"), i.cast("string"), F.lit("=v")))
-    out = parse_kv(spread(s.select("s_suppkey", F.array_join(pairs, " ").alias("t"))), "t", "parsed")
+    out = parse_kv(s.select("s_suppkey", F.array_join(pairs, " ").alias("t")), "t", "parsed")
     return out.select("s_suppkey", document_limits().alias("hit_limit"))
