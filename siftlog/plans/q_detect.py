@@ -16,7 +16,7 @@ _LOST = "fmt IN ('malformed_json', 'unknown')"
 
 
 def _raw(spark, sf_dir):
-    return spread(domain.payloads(spark, sf_dir).select("event_id", "user_id", "fmt", "raw"))
+    return domain.payloads(spark, sf_dir, dealt=True).select("event_id", "user_id", "fmt", "raw")
 
 
 @query(
