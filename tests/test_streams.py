@@ -36,6 +36,26 @@ def test_retries_count_over_restarts(spark, tmp_path):
         ("a", "DEAD_LETTER", 3, at(7), "z"), ("a", "RETRY", 2, at(14), "x")])
 
 
+def test_receipts_of_one_bucket_keep_their_own_attempts(spark, tmp_path):
+    """State rows are shared by hash: all receipts in one bucket give what receipts in buckets of their own give."""
+    at = lambda m: START + m * MINUTE
+    names = [f"r{k}" for k in range(300)] + [None]
+    files = [[(r, at(0), False, True, "x") for r in names] + [("tick", at(5), True, True, None)], [(r, at(6), k % 2 == 0, True, None) for k, r in enumerate(names)] + [("tick", at(12), True, True, None)]]
+    schema = "receipt_id string, at_ms bigint, ok boolean, retryable boolean, code string"
+    own = stateful.with_store(spark)
+    for buckets in (1, 4096):
+        place = tmp_path / str(buckets)
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{place}/in/n={k}")
+            stream = own.readStream.schema(f"{schema}, n int").parquet(f"{place}/in").withColumn("event_time", F.timestamp_millis("at_ms"))
+            dealt = stateful.retry_stream(stream, 3, MINUTE, 10 * MINUTE, buckets=buckets)
+            out = dealt.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/cp")
+            out.trigger(availableNow=True).start().awaitTermination()
+        found = {tuple(r) for r in spark.read.parquet(f"{place}/out").collect() if r.receipt_id != "tick"}
+        want = {(r, "RETRY", 2, at(1), "x") for r in names} | {(r, "DONE", 2, at(6), None) for r in names[::2]} | {(r, "RETRY", 3, at(8), None) for r in names[1::2]}
+        assert found == want
+
+
 def test_silent_origins_are_found_by_others_going_on(spark, tmp_path):
     at = lambda m: START + m * MINUTE
     files = [[("a", at(0)), ("b", at(1)), ("c", at(2))], [("a", at(20))], [("a", at(21)), ("b", at(21))], [("a", at(40))]]
