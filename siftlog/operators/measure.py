@@ -19,7 +19,7 @@ def expand_weights(weights: list[tuple[object, int]]) -> list[object]:
 def weighted_mix(rows: DataFrame, index: Column, choices: list[tuple[object, int]], seed: int, name: str) -> DataFrame:
     """Add a seeded, cyclic choice per row: position `index mod total` of a shuffled list."""
     options = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i)).alias("h"), F.lit(v).alias("v")) for i, v in enumerate(expand_weights(choices))])
-    shuffled = F.array_sort(options)
+    shuffled = F.sort_array(options)  # folded into one literal; array_sort would sort the list for every row
     return rows.withColumn(name, F.get(shuffled, F.pmod(index, F.size(shuffled)).cast("int"))["v"])
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog import session
-from siftlog.operators import search
+from siftlog.operators import measure, search
 from siftlog.plans import domain, q_detect, q_mapping, q_parse
 
 
@@ -64,3 +64,10 @@ def test_a_cursor_is_decoded_once(spark):
     assert found[0] == (1_704_164_645_000_006_007, "r-1", "v-1")
     assert all(found[n] == (None, None, None) for n in range(1, len(given)))
     assert plan(out).count("from_json") == 1
+
+
+def test_the_list_of_a_mix_is_sorted_once(spark):
+    mixed = measure.weighted_mix(spark.range(500), F.col("id"), [("a", 3), ("b", 5), ("c", 2)], 7, "m")
+    assert "sort" not in plan(mixed).lower()  # a literal, not a sort for each row
+    per = {tuple(r)[0]: sorted(tuple(r)[1]) for r in mixed.groupBy(F.expr("id div 10")).agg(F.collect_list("m")).collect()}
+    assert len(per) == 50 and all(v == list("aaabbbbbcc") for v in per.values())
