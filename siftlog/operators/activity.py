@@ -249,6 +249,17 @@ def _path(*paths: str) -> list[Column]:
     return [F.try_variant_get("parsed_fields", f"$.{p}", "string") for p in paths]
 
 
+def newest(rows: DataFrame, time: str, limit: int = vocab.RECENT_LIMIT) -> DataFrame:
+    """All rows that can be among the `limit` newest: not older than the last of those, with everything of the same time.
+
+    What orders rows of one time need not be known yet, so rows can be ranked before the work that tells it.
+    Rows without a time are the oldest.
+    """
+    top = rows.select(time).orderBy(F.desc(time)).limit(limit)
+    last = top.agg(F.count(time).alias("n"), F.min(time).alias("time")).first()
+    return rows.filter(F.col(time) >= last["time"]) if last["n"] == limit else rows
+
+
 def recent_events(latest: DataFrame, limit: int = vocab.RECENT_LIMIT) -> DataFrame:
     """Newest revisions with names and actions found along fixed fallback paths.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog import session
-from siftlog.operators import measure, search
+from siftlog.operators import activity, measure, search
 from siftlog.plans import domain, q_detect, q_mapping, q_parse
 
 
@@ -71,3 +71,10 @@ def test_the_list_of_a_mix_is_sorted_once(spark):
     assert "sort" not in plan(mixed).lower()  # a literal, not a sort for each row
     per = {tuple(r)[0]: sorted(tuple(r)[1]) for r in mixed.groupBy(F.expr("id div 10")).agg(F.collect_list("m")).collect()}
     assert len(per) == 50 and all(v == list("aaabbbbbcc") for v in per.values())
+
+
+def test_the_newest_rows_are_whole_with_ties_and_rows_without_a_time(spark):
+    rows = spark.createDataFrame([(k, k // 3) for k in range(30)] + [(30, None), (31, None)], "n int, t bigint")
+    got = lambda df, limit: sorted(r.n for r in activity.newest(df, "t", limit).collect())
+    assert got(rows, 4) == [24, 25, 26, 27, 28, 29]  # the fourth newest shares its time with two more
+    assert got(rows, 31) == list(range(32)) and got(rows.filter("n >= 30"), 1) == [30, 31] and got(rows.filter("n < 0"), 1) == []
