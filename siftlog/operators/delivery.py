@@ -184,6 +184,10 @@ def _unsigned(col: Column, maximum: int) -> Column:
     return col.between(0, maximum)
 
 
+#: Columns of an envelope that the projection reads, beside its text.
+PROJECTED = ["schema_version", "receipt", "raw", "processing", "event", "quality"]
+
+
 def project_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat 25-column rows and the envelopes that do not fit (with the field).
 

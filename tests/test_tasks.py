@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog import session
-from siftlog.operators import activity, measure, search
-from siftlog.plans import domain, q_detect, q_mapping, q_parse
+from siftlog.operators import activity, delivery, measure, search
+from siftlog.plans import domain, q_detect, q_envelope, q_mapping, q_parse
 
 
 def plan(df):
@@ -78,3 +78,15 @@ def test_the_newest_rows_are_whole_with_ties_and_rows_without_a_time(spark):
     got = lambda df, limit: sorted(r.n for r in activity.newest(df, "t", limit).collect())
     assert got(rows, 4) == [24, 25, 26, 27, 28, 29]  # the fourth newest shares its time with two more
     assert got(rows, 31) == list(range(32)) and got(rows.filter("n >= 30"), 1) == [30, 31] and got(rows.filter("n < 0"), 1) == []
+
+
+def test_rejects_are_looked_for_in_written_envelopes(spark, tables, monkeypatch):
+    written = []
+
+    def stored(rows, purpose):
+        written.append(rows.columns)
+        return spark.createDataFrame([], rows.schema)
+
+    monkeypatch.setattr(q_envelope, "stored", stored, raising=False)
+    out = q_envelope.project_rejects(spark, tables)
+    assert written == [delivery.PROJECTED] and out.columns == ["event_id", "field"] and "events.parquet" not in plan(out)
