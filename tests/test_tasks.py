@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftlog import session
 from siftlog.operators import activity, delivery, measure, search
 from siftlog.plans import domain, q_detect, q_envelope, q_mapping, q_parse
+from siftlog.sources.commits import MANY_FILES
 
 
 def plan(df):
@@ -90,3 +91,11 @@ def test_rejects_are_looked_for_in_written_envelopes(spark, tables, monkeypatch)
     monkeypatch.setattr(q_envelope, "stored", stored, raising=False)
     out = q_envelope.project_rejects(spark, tables)
     assert written == [delivery.PROJECTED] and out.columns == ["event_id", "field"] and "events.parquet" not in plan(out)
+
+
+def test_many_files_are_moved_by_their_tasks(spark, tmp_path):
+    rows = spark.range(40).select("id", F.col("id").cast("string").alias("value")).repartition(4)
+    rows.write.partitionBy("id").options(**MANY_FILES).text(f"{tmp_path}/t")
+    assert MANY_FILES == {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    assert sorted((r["id"], r["value"]) for r in spark.read.text(f"{tmp_path}/t").collect()) == [(k, str(k)) for k in range(40)]
+    assert (tmp_path / "t" / "_SUCCESS").exists() and not (tmp_path / "t" / "_temporary").exists()
