@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from siftlog.functions.ip import ip_key
 from siftlog.plans import domain
 from siftlog.plans.registry import query
-from siftlog.session import shared_dir, spread
+from siftlog.session import shared_dir
 from siftlog.sources import configs, evidence, sinks
 from siftlog.sources.commits import MANY_FILES
 
@@ -26,7 +26,8 @@ def scan_evidence_files(spark, sf_dir):
     k, path = F.col("s_suppkey"), shared_dir(spark, "evidence")
     rows = domain.table(spark, sf_dir, "supplier").withColumn("line", F.concat("s_name", F.lit(" "), F.col("s_nationkey").cast("string")))
     held = rows.filter(k % 13 != 5).select(k.alias("key"), "line")
-    spread(held).write.partitionBy("key").option("lineSep", "\n").options(**MANY_FILES).text(path)
+    dealt = held.repartition(spark.sparkContext.defaultParallelism, "key")  # rows that repeat a key share its file
+    dealt.write.partitionBy("key").option("lineSep", "\n").options(**MANY_FILES).text(path)
     files = evidence.scan_files(spark, path).select(F.regexp_extract("path", "/key=([0-9]+)/[^/]*$", 1).alias("ref"), "raw")
     whole = F.concat("line", F.lit("\n"))
     declared = rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftlog import session
 from siftlog.operators import activity, delivery, measure, search
-from siftlog.plans import domain, q_detect, q_envelope, q_mapping, q_parse
+from siftlog.plans import domain, q_detect, q_envelope, q_mapping, q_parse, q_sources
 from siftlog.sources.commits import MANY_FILES
 
 
@@ -99,3 +99,10 @@ def test_many_files_are_moved_by_their_tasks(spark, tmp_path):
     assert MANY_FILES == {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
     assert sorted((r["id"], r["value"]) for r in spark.read.text(f"{tmp_path}/t").collect()) == [(k, str(k)) for k in range(40)]
     assert (tmp_path / "t" / "_SUCCESS").exists() and not (tmp_path / "t" / "_temporary").exists()
+
+
+def test_rows_that_repeat_a_key_share_its_file(spark, tmp_path):
+    spark.sql("SELECT 1 + id % 20 AS s_suppkey, 'n' AS s_name, id % 20 AS s_nationkey FROM range(40)").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = [tuple(r)[:2] + (r.size_bytes,) for r in q_sources.scan_evidence_files(spark, str(tmp_path)).collect()]
+    size = {k: 2 * len(f"n {k - 1}\n") for k in range(1, 21)}
+    assert sorted(rows, key=str) == sorted([(k, "missing", None) if k % 13 == 5 else (k, "corrupt", size[k]) for k in range(1, 21) for _ in range(2)], key=str)
