@@ -1,8 +1,10 @@
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,18 @@ def test_rare_n_grams_count_at_every_size(spark):
         table, automaton = lm.train(docs.select("text"), 3, share)
         for r in lm.score_texts(docs, table, automaton).collect():
             assert r.score == pytest.approx(plain.score(texts[r.doc_id], 3), abs=1e-9)
+
+
+def test_rounds_share_all_hashes_and_leave_only_what_is_read_later(spark, tmp_path, monkeypatch):
+    """Shuffles and tables of a round go with it, so disk follows the input."""
+    hashes = [lm.word_hash(f"w{k}") for k in range(4000)]
+    shares = {r.h: r.t for r in spark.createDataFrame([(h,) for h in hashes], "h bigint").select("h", lm.turn_column("h").alias("t")).collect()}
+    turns = lm.turn_of(np.array(hashes))
+    assert [shares[h] for h in hashes] == turns.tolist() and set(turns.tolist()) == set(range(1 << lm.SHARE_BITS))
+    monkeypatch.setattr(lm, "shared_dir", lambda _, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    docs = spark.createDataFrame(list(enumerate(["a b c a b d", "a b c", None, "c c c"] * 5)), "doc_id bigint, text string").repartition(3)
+    before = spark.conf.get(lm.CLEANUP)
+    table, automaton = lm.train(docs.select("text"))
+    assert lm.score_texts(docs, table, automaton).count() == 20
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["llm-found", "llm-walked", "llm-weights"]
+    assert spark.conf.get(lm.CLEANUP) == before
