@@ -83,6 +83,23 @@ def test_files_become_receipts_and_rejects_once(spark, tmp_path):
     assert rows == sorted([*want, (b"new", "", "receipt")]) and len(ids) == 7
 
 
+def test_a_trigger_reads_its_captures_once(spark, tmp_path):
+    """Frames keep the time of their capture without a second scan, a join or a shuffle; the listing setting is put back."""
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.bin").write_bytes(b"2 ab" * k)
+    captures = spark.read.format("binaryFile").load(f"{tmp_path}/in/*.bin")
+    frames = arrivals.deframe(captures, "t", "l", 10)
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and "Exchange" not in plan and "Join" not in plan
+    times = {r.us * 1000 for r in captures.select(F.unix_micros("modificationTime").alias("us")).collect()}
+    rows = frames.collect()
+    assert len(rows) == 3 and {r.received_at_ns for r in rows} <= times
+    before = spark.conf.get(arrivals.LISTING)
+    arrivals.stream_admit(arrivals.capture_stream(spark, f"{tmp_path}/in", 2, "*.bin"), "t", "l", f"{tmp_path}/out", f"{tmp_path}/cp", "s", max_bytes=10)
+    assert spark.conf.get(arrivals.LISTING) == before and spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
 def test_two_hundred_levels_lose_nothing(spark):
     deep = "leaf"
     for k in range(200):
