@@ -35,6 +35,8 @@ from siftlog.llm.words import chunk_table, filled, ragged, slices
 from siftlog.session import shared_dir
 
 BLOCK_BYTES = 8 << 20
+#: Text of a block that is split at once; its pre-tokens are numbered for the whole block.
+PART_BYTES = 2 << 20
 BUCKETS = 256
 LATIN_END = "ɐ"
 
@@ -80,6 +82,19 @@ def split_piece(text: str, pattern) -> list[str]:
     return pattern.findall(text)
 
 
+def number_words(texts: pa.Array, pattern, known: dict[str, int], split: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pre-tokens of the texts in `known`, and how many each text has; `known` and `split`, the numbers of each piece, are added to."""
+    codes, begins, pieces = chunk_table(texts, pattern)
+    for piece in pieces:
+        if piece not in split:
+            split[piece] = [known.setdefault(t, len(known)) for t in split_piece(piece, pattern)]
+    parts = [split[piece] for piece in pieces]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.fromiter((c for part in parts for c in part), np.uint32, int(sizes.sum()))
+    numbers = ragged(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes])
+    return numbers, np.diff(np.concatenate(([0], np.cumsum(sizes[codes])))[begins])
+
+
 def make_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
     """One row per block: its ids, pre-tokens per text, their numbers, the bucket of each number, and the words of each bucket."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -89,18 +104,16 @@ def make_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block
         for batch in batches:
             texts = filled(batch.column(1))
             for start, stop in slices(texts, block_bytes):
-                codes, begins, pieces = chunk_table(texts.slice(start, stop - start), match)
                 known: dict[str, int] = {}
-                parts = [[known.setdefault(t, len(known)) for t in split_piece(p, match)] for p in pieces]
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                flat = np.fromiter((c for part in parts for c in part), np.int64, int(sizes.sum()))
-                numbers = ragged(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes])
-                per_text = np.diff(np.concatenate(([0], np.cumsum(sizes[codes])))[begins])
+                split: dict[str, list[int]] = {}
+                cut = [number_words(texts.slice(start + a, b - a), match, known, split) for a, b in slices(texts.slice(start, stop - start), PART_BYTES)]
+                numbers, per_text = (np.concatenate(c) for c in zip(*cut, strict=True))
+                del cut, split
                 words = [w.encode() for w in known]
                 count = np.bincount(numbers, minlength=len(words))
                 rank = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack well
-                place = np.empty(len(rank), np.int64)
-                place[rank] = np.arange(len(rank))
+                place = np.empty(len(rank), np.uint32)
+                place[rank] = np.arange(len(rank), dtype=np.uint32)
                 bucket = np.fromiter((xxhash.xxh32_intdigest(words[k]) % buckets for k in rank), np.int64, len(rank))
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -111,6 +124,7 @@ def make_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block
                     pa.array([[{"bucket": b, "words": w} for b, w in asked]], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))],
                     names=["block", "ids", "per_text", "numbers", "buckets", "asked"])
                 block += 1
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).mapInArrow(
         run, f"block bigint, ids array<{kind}>, per_text binary, numbers binary, buckets binary, asked array<struct<bucket:int,words:binary>>")

@@ -53,3 +53,16 @@ def test_no_documents_and_unknown_ids(spark):
     assert bpe.encode_texts(no_documents(spark), RANKS, PATTERN).count() == 0
     with pytest.raises(Exception, match="not in the table"):
         bpe.decode_tokens(spark.createDataFrame([(1, [99_999_999])], "doc_id bigint, tokens array<int>"), RANKS).collect()
+
+
+def test_blocks_are_split_in_parts_with_the_same_numbers(spark, monkeypatch):
+    """A block's texts are split a part at a time; words have one number in all of them."""
+    match, texts, known, split = regex.compile(PATTERN), pa.array([*ODD, None, *ODD]), {}, {}
+    whole, sizes = bpe.number_words(texts, match, {}, {})
+    parts = [bpe.number_words(texts.slice(k, 5), match, known, split) for k in range(0, len(texts), 5)]
+    assert [n for numbers, _ in parts for n in numbers] == whole.tolist() and [n for _, per_text in parts for n in per_text] == sizes.tolist()
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id bigint, text string").coalesce(1)
+    made = lambda: [(r.per_text, r.numbers, r.buckets, r.asked) for r in bpe.make_blocks(docs, PATTERN, "doc_id", "text", bpe.BLOCK_BYTES, 7).collect()]
+    large = made()
+    monkeypatch.setattr(bpe, "PART_BYTES", 8)
+    assert made() == large
