@@ -171,14 +171,15 @@ def reassemble(blocks: DataFrame, kind: str) -> DataFrame:
                 size, start = np.empty_like(sizes), np.empty_like(sizes)
                 size[order], start[order] = sizes, np.cumsum(sizes) - sizes
                 numbers = unpack(batch.column(2)[k].as_py(), "<u4")
-                tokens = ragged(flat, start[numbers], size[numbers]).astype(np.int32)
                 per_text = np.concatenate(([0], np.cumsum(unpack(batch.column(1)[k].as_py(), "<u4").astype(np.int64))))
-                begins = np.concatenate(([0], np.cumsum(size[numbers])))[per_text]
-                for a in range(0, len(begins) - 1, 1024):
-                    part = begins[a : a + 1025]
+                for a in range(0, len(per_text) - 1, 256):
+                    texts = per_text[a : a + 257]
+                    part = numbers[texts[0] : texts[-1]]
+                    begins = np.concatenate(([0], np.cumsum(size[part])))[texts - texts[0]]
+                    tokens = ragged(flat, start[part], size[part]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0)[k].values.slice(a, len(part) - 1),
-                        pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(tokens[part[0] : part[-1]]))], names=["id", "tokens"])
+                        batch.column(0)[k].values.slice(a, len(texts) - 1), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens))], names=["id", "tokens"])
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("ids", "per_text", "numbers", "buckets", "answers").mapInArrow(run, f"id {kind}, tokens array<int>")
 
