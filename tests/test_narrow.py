@@ -9,6 +9,8 @@ from siftlog.functions.variant import resolve_paths
 from siftlog.operators.detect import detect
 from siftlog.operators.envelope import RECEIPT, safe_code, safe_message
 from siftlog.plans.interpret import interpreted
+from siftlog.sources import evidence
+from siftlog.streaming import arrivals
 
 
 def _widths(plan):
@@ -57,3 +59,25 @@ def test_short_ways_agree_with_the_long_ones(spark):
     assert {r.c: r.s for r in got} == codes
     got = spark.createDataFrame([(k,) for k in texts], "c string").select("c", safe_message(F.col("c")).alias("s")).collect()
     assert {r.c: r.s for r in got} == texts
+
+
+def test_the_list_of_seen_captures_is_not_written_anew_every_ten_triggers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(12):
+        (tmp_path / "in" / f"{k}.bin").write_bytes(b"2 ab")
+    before = spark.conf.get(arrivals.COMPACTION, None)
+    arrivals.stream_admit(arrivals.capture_stream(spark, f"{tmp_path}/in", 1, "*.bin"), "t", "l", f"{tmp_path}/out", f"{tmp_path}/cp", "s", max_bytes=10)
+    assert spark.conf.get(arrivals.COMPACTION, None) == before and spark.read.parquet(f"{tmp_path}/out").count() == 12
+    assert not list((tmp_path / "cp").rglob("*.compact")) and len(list((tmp_path / "cp" / "commits").glob("[0-9]*"))) == 12
+
+
+def test_frames_of_many_captures_are_handed_on_together(spark, monkeypatch):
+    rows = [(f"c{k}", b"2 ab3 xyz" if k % 3 else b"", k) for k in range(30)]
+    captures = spark.createDataFrame(rows, "capture_id string, data binary, us bigint").coalesce(1)
+    sizes = []
+    monkeypatch.setattr(evidence, "PIECE_BYTES", 40)
+    frames = type(captures).mapInPandas
+    monkeypatch.setattr(type(captures), "mapInPandas", lambda df, walk, schema: sizes.extend(len(p) for p in walk(iter([df.toPandas()]))) or frames(df, walk, schema))
+    got = evidence.split_octet_counted(captures, 10, carry=("us",)).collect()
+    assert sorted((r.capture_id, r.us, r.frame_no, bytes(r.frame)) for r in got) == sorted((c, u, i, f) for c, d, u in rows if d for i, f in enumerate((b"ab", b"xyz")))
+    assert sizes == [10, 10, 10, 10]
